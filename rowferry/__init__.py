@@ -1,7 +1,4 @@
-"""Table copies, bounded queries, a data dictionary and access rules on Spark."""
+"""Table copies, bounded queries, a data dictionary and access rules on Spark.
 
-from rowferry.endpoint import Endpoint
-from rowferry.operators.copying import copy, read_endpoint, write_endpoint
-from rowferry.operators.results import bounded, run_sql
-
-__all__ = ["Endpoint", "bounded", "copy", "read_endpoint", "run_sql", "write_endpoint"]
+The modules are imported by name, so that a worker loads only what its task uses.
+"""

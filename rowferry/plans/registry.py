@@ -188,7 +188,7 @@ def align_to_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def insert_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = T.StructType().add("talk", "long").add("place", "int").add("speaker", "string").add("body", "string")
+    target = T.StructType.fromDDL("talk bigint, place int, speaker string, body string")
     return tables.insert_positional(load(spark, sf_dir, "conversations"), target)
 
 

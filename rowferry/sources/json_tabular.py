@@ -6,8 +6,9 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +22,23 @@ ROWS_PER_DOCUMENT = 100_000
 _DOCUMENT = "fields array<string>, types array<string>, rows array<array<string>>"
 
 
+def _parsed(texts: DataFrame, schema: str) -> Column:
+    return F.from_json(texts.value, schema, {"mode": "FAILFAST"})
+
+
+def _document_texts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document. It is parsed from its text, as the JSON file source
+    would go back to the file for each number that is to become text."""
+    return spark.read.text(path, wholetext=True).where(F.length("value") > 0)
+
+
 def read_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """The names and type names of the first document."""
-    reader = spark.read.options(multiLine=True, mode="FAILFAST")
-    head = reader.schema("fields array<string>, types array<string>").json(first_file(spark, path)).first()
-    if head is None or head.fields is None:
+    texts = _document_texts(spark, first_file(spark, path))
+    head = texts.select(_parsed(texts, "fields array<string>, types array<string>").alias("d")).first()
+    if head is None or head.d is None or head.d.fields is None:
         raise ValueError(f"no tabular JSON document in {path}")
-    return head.fields, head.types or []
+    return head.d.fields, head.d.types or []
 
 
 def read_json_tabular(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -46,47 +57,52 @@ def read_json_tabular(spark: SparkSession, path: str, schema: T.StructType | Non
     elif len(schema) != len(fields):
         raise ValueError(f"{len(fields)} columns in the documents, {len(schema)} in the schema")
 
-    documents = spark.read.schema(_DOCUMENT).options(multiLine=True, mode="FAILFAST").json(path)
-    same_header = documents.fields.eqNullSafe(F.array(*map(F.lit, fields)).cast("array<string>")) & F.coalesce(
-        documents.types, F.array().cast("array<string>")
-    ).eqNullSafe(F.array(*map(F.lit, types)).cast("array<string>"))
-    rows = documents.where(
-        F.assert_true(same_header, "documents with different fields or types").isNull()
-    ).select(F.explode("rows").alias("r"))
-    rows = rows.where(
-        F.assert_true(F.size("r") == len(fields), f"a row does not have {len(fields)} values").isNull()
-    )
+    def checked_rows(document: Column) -> Column:
+        same = document.fields.eqNullSafe(_texts(fields)) & F.coalesce(document.types, _texts([])).eqNullSafe(
+            _texts(types)
+        )
+        wrong = F.raise_error("documents with different fields or types").cast("array<array<string>>")
+        return F.when(same, document.rows).otherwise(wrong)
+
+    texts = _document_texts(spark, path)
+    # A lambda's argument is evaluated once, so that a document is parsed once.
+    parsed = F.get(F.transform(F.array(_parsed(texts, _DOCUMENT)), checked_rows), F.lit(0))
+    rows = texts.select(F.posexplode_outer(parsed).alias("place", "r")).where("place IS NOT NULL")
+    rows = rows.where(F.assert_true(F.size("r") == len(fields), f"a row does not have {len(fields)} values").isNull())
     return rows.select(*[from_text(F.get("r", F.lit(i)), f.dataType).alias(f.name) for i, f in enumerate(schema)])
 
 
+def _texts(values: list[str]) -> Column:
+    return F.array(*[F.lit(value) for value in values]).cast("array<string>")
+
+
 def _documents(head: str, rows_per_document: int):
     """Wrap the row texts of a partition into documents, one line each for head, row and tail."""
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lines(values) -> pa.RecordBatch:
+        def lines(*values: str) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
 
         filled, seen = None, False
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            seen = seen or bool(values)
-            start = 0
-            while start < len(values):
+            texts, start = batch.column(0), 0
+            while start < len(texts):
+                seen = True
                 if filled is None:
-                    yield lines([head])
-                    filled = 0
-                part = values[start : start + rows_per_document - filled]
-                yield lines([text if filled + i == 0 else "," + text for i, text in enumerate(part)])
-                filled += len(part)
-                start += len(part)
+                    yield lines(head)
+                    yield pa.RecordBatch.from_arrays([texts.slice(start, 1)], ["value"])
+                    filled, start = 1, start + 1
+                part = texts.slice(start, rows_per_document - filled)
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise("", part, ",")], ["value"])
+                filled, start = filled + len(part), start + len(part)
                 if filled == rows_per_document:
-                    yield lines(["]}"])
+                    yield lines("]}")
                     filled = None
         if filled is not None:
-            yield lines(["]}"])
+            yield lines("]}")
         elif not seen and TaskContext.get().partitionId() == 0:
             # The text writer makes a file for the first partition even if it is empty.
-            yield lines([head, "]}"])
+            yield lines(head, "]}")
 
     return wrap
 
