@@ -68,7 +68,9 @@ def read_json_tabular(spark: SparkSession, path: str, schema: T.StructType | Non
     # A lambda's argument is evaluated once, so that a document is parsed once.
     parsed = F.get(F.transform(F.array(_parsed(texts, _DOCUMENT)), checked_rows), F.lit(0))
     rows = texts.select(F.posexplode_outer(parsed).alias("place", "r")).where("place IS NOT NULL")
-    rows = rows.where(F.assert_true(F.size("r") == len(fields), f"a row does not have {len(fields)} values").isNull())
+    # Spark may evaluate the conditions in either order, so that this one holds without the other.
+    fits = F.col("place").isNull() | F.coalesce(F.size("r") == len(fields), F.lit(False))
+    rows = rows.where(F.assert_true(fits, f"a row does not have {len(fields)} values").isNull())
     return rows.select(*[from_text(F.get("r", F.lit(i)), f.dataType).alias(f.name) for i, f in enumerate(schema)])
 
 

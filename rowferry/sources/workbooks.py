@@ -115,7 +115,7 @@ def read_workbooks(
             return text
         filled = F.when(text != "", text)
         if isinstance(data_type, T.BinaryType):
-            return F.unbase64(filled)
+            return F.unbase64(F.when(F.substring("kinds", i + 1, 1) != sheet_xml.EMPTY, text))
         if isinstance(data_type, T.IntegralType):
             return filled.cast(T.DecimalType(38, 0)).cast(data_type)
         return filled.cast(data_type)

@@ -66,7 +66,7 @@ def test_quoting(spark):
     assert [sqltypes.quoted(v, n) for v, n, q in cases if q] == [q for *_, q in cases if q]
 
 
-def test_create_table_statement():
+def test_create_table_statement(spark):
     schema = T.StructType.fromDDL("id bigint, `a]b` string, x double, n decimal(10,3), t timestamp_ntz, b binary")
     assert sqltypes.create_table_statement("mssql", "[t]", schema) == (
         "CREATE TABLE [t] ([id] BIGINT,[a]]b] TEXT,[x] FLOAT,[n] DECIMAL(18,2),[t] DATETIME2,[b] VARBINARY(MAX))"
