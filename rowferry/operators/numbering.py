@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,25 +38,33 @@ def _struct(names: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Ranges:
-    """Cuts of an order: range 0 lies before the first cut, range i starts at the i-th."""
+    """Cuts of an order: range 0 lies before the first cut, range i starts at the i-th.
 
-    keys: list[str]
-    types: list[T.DataType]
-    cuts: list[Row]
+    The cuts are JSON texts, so that a plan carries them as one constant. Any
+    value does as a cut, so that what JSON does to a key's last digits is of no
+    matter.
+    """
 
-    def literals(self, width: int) -> Column:
-        """The first ``width`` key values of every cut, as a constant list."""
-        parts = list(zip(self.keys, self.types, strict=True))[:width]
-        return F.array(
-            *[F.struct(*[F.lit(v).cast(kind).alias(n) for v, (n, kind) in zip(cut, parts)]) for cut in self.cuts]
-        )
+    schema: T.StructType
+    cuts: list[str]
+
+    @property
+    def last(self) -> int:
+        return len(self.cuts)
+
+    def constant(self) -> Column:
+        """All cuts as a list of key structs; Spark folds it before the query runs."""
+        return F.from_json(F.lit(f"[{','.join(self.cuts)}]"), T.ArrayType(self.schema))
+
+    def cut(self, number: Column | int) -> Column:
+        """The key at the start of a range, null for range 0."""
+        return F.get(self.constant(), number - 1 if isinstance(number, Column) else F.lit(number - 1))
 
     def index(self) -> Column:
         """The range of a row: the number of cuts at or before its key, by bisection."""
-        count = len(self.cuts)
-        if count == 0:
+        if not self.cuts:
             return F.lit(0)
-        cuts, key = self.literals(len(self.keys)), _struct(self.keys)
+        cuts, key, count = self.constant(), _struct(self.schema.fieldNames()), self.last
         return F.aggregate(
             F.array(*[F.lit(1 << bit) for bit in reversed(range(count.bit_length()))]),
             F.lit(0),
@@ -68,55 +76,50 @@ class Ranges:
 
 def find_ranges(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE) -> Ranges:
     """Cut an order into ranges of about equal size, by a sample of its keys."""
-    types = [df.schema[name].dataType for name in keys]
+    schema = T.StructType([T.StructField(name, df.schema[name].dataType) for name in keys])
     rows = df.count()
     wanted = min(-(-rows // rows_per_range), MAX_RANGES)
     if wanted < 2:
-        return Ranges(keys, types, [])
+        return Ranges(schema, [])
     fraction = min(1.0, wanted * _SAMPLES_PER_RANGE / rows)
     # The sample's size is bounded by the number of ranges, and Spark's own order sorts it.
     sampled = df.select(_struct(keys).alias("key")).sample(fraction=fraction, seed=7)
-    found = [row.key for row in sampled.distinct().orderBy("key").collect()]
+    found = [row[0] for row in sampled.distinct().orderBy("key").select(F.to_json("key")).collect()]
     picked = sorted({len(found) * i // wanted for i in range(1, wanted)})
-    return Ranges(keys, types, [found[i] for i in picked if i < len(found)])
+    return Ranges(schema, [found[i] for i in picked if i < len(found)])
+
+
+def _counts(df: DataFrame, ranges: Ranges, counted: Column) -> list[int]:
+    """For each range but the last, the rows for which a condition holds: one number a range."""
+    placed = df.withColumn(_RANGE, ranges.index())
+    counts = dict(placed.groupBy(_RANGE).agg(F.count_if(counted)).collect())
+    return [counts.get(i, 0) for i in range(ranges.last)]
 
 
 def rows_before(df: DataFrame, ranges: Ranges) -> list[int]:
     """For each range, the rows in all ranges before it."""
-    if not ranges.cuts:
-        return [0]
-    counts = dict(df.select(ranges.index().alias(_RANGE)).groupBy(_RANGE).count().collect())
-    return list(accumulate((counts.get(i, 0) for i in range(len(ranges.cuts))), initial=0))
-
+    return list(accumulate(_counts(df, ranges, F.lit(True)), initial=0))
 
-def _group_rows_before(placed: DataFrame, ranges: Ranges, group_by: list[str]) -> list[int]:
-    """For each range, the rows in earlier ranges of the group that its cut lies in.
 
-    Only the groups at the two cuts of a range are counted, so that at most two
-    rows a range come to the driver.
-    """
-    groups, place = ranges.literals(len(group_by)), F.col(_RANGE)
-    group = F.col("group")
-    counts = (
-        placed.select(place, _struct(group_by).alias("group"))
-        .where(group.eqNullSafe(F.get(groups, place - 1)) | group.eqNullSafe(F.get(groups, place)))
-        .groupBy(_RANGE, "group")
-        .count()
-        .orderBy(_RANGE)
-        .collect()
+def _group_rows_before(df: DataFrame, ranges: Ranges, group_by: list[str]) -> list[int]:
+    """For each range, the rows in earlier ranges of the group that its first key lies in."""
+    place = F.col(_RANGE)
+    leading = _counts(df, ranges, _struct(group_by).eqNullSafe(_group(ranges.cut(place + 1), group_by)))
+    pairs = F.transform(
+        F.array(*[F.lit(i) for i in range(1, ranges.last)]).cast("array<int>"),
+        lambda i: _group(ranges.cut(i), group_by).eqNullSafe(_group(ranges.cut(i + 1), group_by)),
     )
-    by_range: dict[int, list[tuple[tuple, int]]] = {}
-    for row in counts:
-        by_range.setdefault(row[_RANGE], []).append((tuple(row.group), row["count"]))
-    seen: dict[tuple, int] = {}
+    continues = [False, *df.sparkSession.range(1).select(pairs).first()[0]]
     before = [0]
-    for number, cut in enumerate(ranges.cuts):
-        for group_key, count in by_range.get(number, ()):
-            seen[group_key] = seen.get(group_key, 0) + count
-        before.append(seen.get(tuple(cut[: len(group_by)]), 0))
+    for rows, same_group in zip(leading, continues, strict=True):
+        before.append(rows + (before[-1] if same_group else 0))
     return before
 
 
+def _group(key: Column, group_by: list[str]) -> Column:
+    return F.struct(*[key[name].alias(name) for name in group_by])
+
+
 def number_rows(
     df: DataFrame,
     order_by: list[str],
@@ -134,11 +137,12 @@ def number_rows(
     window = Window.partitionBy(_RANGE, *_columns(group_by)).orderBy(*_columns(order_by))
     number = F.row_number().over(window).cast("long")
     if ranges.cuts:
-        before = _group_rows_before(placed, ranges, group_by) if group_by else rows_before(df, ranges)
-        earlier = F.get(F.array(*[F.lit(count).cast("long") for count in before]), F.col(_RANGE))
+        before = _group_rows_before(df, ranges, group_by) if group_by else rows_before(df, ranges)
+        constant = F.from_json(F.lit(f"{before}"), "array<bigint>")
+        earlier = F.get(constant, F.col(_RANGE))
         if group_by:
             # A range starts within at most one group that began before it.
-            cut_group = F.get(ranges.literals(len(group_by)), F.col(_RANGE) - 1)
-            earlier = F.when(_struct(group_by).eqNullSafe(cut_group), earlier).otherwise(0)
+            own = _struct(group_by).eqNullSafe(_group(ranges.cut(F.col(_RANGE)), group_by))
+            earlier = F.when((F.col(_RANGE) > 0) & own, earlier).otherwise(0)
         number = number + earlier
     return placed.withColumn(name, number).drop(_RANGE)

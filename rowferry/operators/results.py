@@ -105,11 +105,13 @@ def page(df: DataFrame, order_by: list[str], number: int, size: int = PAGE_SIZE)
     near = df.where(ranges.index().between(first, last))
     # A bound on the leading column alone reaches the scan. Nulls sort first, so that
     # rows with one can only lie in the page's ranges if the lower cut is null as well.
-    leading, kind = columns[0], ranges.types[0]
-    if first > 0 and ranges.cuts[first - 1][0] is not None:
-        near = near.where(leading >= F.lit(ranges.cuts[first - 1][0]).cast(kind))
-        if last < len(ranges.cuts):
-            near = near.where(leading <= F.lit(ranges.cuts[last][0]).cast(kind))
+    leading, key = columns[0], order_by[0]
+    if first > 0:
+        lower = ranges.cut(first)[key]
+        near = near.where(lower.isNull() | (leading >= lower))
+        if last < ranges.last:
+            upper = ranges.cut(last + 1)[key]
+            near = near.where(lower.isNull() | (leading <= upper))
     return near.orderBy(*columns).offset(start - before[first]).limit(size)
 
 
