@@ -1,16 +1,14 @@
-"""White space as Unicode counts it, for regular expressions on the JVM."""
+"""White space as Unicode counts it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Horizontal space (all Unicode white space but the line feed), and with the line feed.
-HORIZONTAL = r"\t\x0B\f\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-ANY_SPACE = HORIZONTAL + r"\n"
+# The characters with the property White_Space.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_space(text: Column) -> Column:
-    """Cut white space at both ends. Every pattern here runs in linear time."""
-    text = F.regexp_replace(text, rf"\A[{ANY_SPACE}]++", "")
-    return F.regexp_replace(text, rf"(?<![{ANY_SPACE}])[{ANY_SPACE}]++\z", "")
+    """Cut white space at both ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))

@@ -35,10 +35,24 @@ def _exponent(text: Column) -> Column:
     return F.substring_index(text, "E", -1).try_cast("int")
 
 
-def float_text(value: Column) -> Column:
-    """A float in its shortest form: plain from 1e-4 to below 1e6, else ``d.ddde+dd``."""
-    text = value.cast("string")
+def _usual_or(value: Column, below: float, rare) -> Column:
+    """A float's text, where it is plain in Spark too; ``rare`` writes all others.
+
+    Most floats take one of the first two cases, which are cheap. The rare cases
+    need long expressions; inside a lambda they stay out of the generated code,
+    which a few columns of them would make too large to compile.
+    """
     size = F.abs(value)
+    whole = value.cast("double").try_cast("bigint")
+    return (
+        F.when((size < below) & (value == whole) & (size > 0), whole.cast("string"))
+        .when((size >= 1e-3) & (size < below), value.cast("string"))
+        .when(value.isNotNull(), F.get(F.transform(F.array(value), rare), F.lit(0)))
+    )
+
+
+def _flat_rare(value: Column) -> Column:
+    text, size = value.cast("string"), F.abs(value)
     exponent = _exponent(text)
     written = F.concat(
         _mantissa(text),
@@ -52,14 +66,10 @@ def float_text(value: Column) -> Column:
         F.lit("0.000"),
         F.regexp_replace(_mantissa(text), r"[-.]", ""),
     )
-    million = F.concat(
-        F.regexp_replace(
-            F.regexp_replace(F.replace(text, F.lit("."), F.lit("")), r"^(-?\d)(\d*?)0*$", "$1.$2"), r"\.$", ""
-        ),
-        F.lit("e+06"),
-    )
+    digits = F.regexp_replace(F.replace(text, F.lit("."), F.lit("")), r"^(-?\d)(\d*?)0*$", "$1.$2")
+    million = F.concat(F.regexp_replace(digits, r"\.$", ""), F.lit("e+06"))
     return (
-        F.when((size == 0) | ((size >= 1e-3) & (size < 1e6)), F.regexp_replace(text, r"\.0$", ""))
+        F.when(size == 0, F.regexp_replace(text, r"\.0$", ""))
         .when(F.isnan(value), F.lit("NaN"))
         .when(value == float("inf"), F.lit("+Inf"))
         .when(value == float("-inf"), F.lit("-Inf"))
@@ -69,10 +79,8 @@ def float_text(value: Column) -> Column:
     )
 
 
-def script_number_text(value: Column) -> Column:
-    """A float as a browser shows it: plain from 1e-6 to below 1e21, else ``d.ddde+d``."""
-    text = value.cast("string")
-    size = F.abs(value)
+def _shown_rare(value: Column) -> Column:
+    text, size = value.cast("string"), F.abs(value)
     exponent = _exponent(text)
 
     def plain(scale: int) -> Column:
@@ -82,8 +90,7 @@ def script_number_text(value: Column) -> Column:
         _mantissa(text), F.when(exponent < 0, F.lit("e")).otherwise(F.lit("e+")), exponent.cast("string")
     )
     return (
-        F.when((size >= 1e-3) & (size < 1e7), F.regexp_replace(text, r"\.0$", ""))
-        .when(size == 0, F.lit("0"))
+        F.when(size == 0, F.lit("0"))
         .when(F.isnan(value) | (size == float("inf")), text)
         .when((size >= 1e-6) & (size < 1e-3), plain(30))
         .when((size >= 1e7) & (size < 1e21), plain(10))
@@ -91,6 +98,16 @@ def script_number_text(value: Column) -> Column:
     )
 
 
+def float_text(value: Column) -> Column:
+    """A float in its shortest form: plain from 1e-4 to below 1e6, else ``d.ddde+dd``."""
+    return _usual_or(value, 1e6, _flat_rare)
+
+
+def script_number_text(value: Column) -> Column:
+    """A float as a browser shows it: plain from 1e-6 to below 1e21, else ``d.ddde+d``."""
+    return _usual_or(value, 1e7, _shown_rare)
+
+
 # ---------------------------------------------------------------- times
 
 
@@ -150,12 +167,17 @@ def json_ready(value: Column, data_type: T.DataType) -> Column:
 
 def json_value(value: Column, data_type: T.DataType) -> Column:
     """A value as JSON text, ``null`` included."""
-    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-        text = value.cast("string")
+    text = value.cast("string")
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        # JSON has no such numbers; as texts they still cast back.
+        finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+        text = F.when(finite, text).when(value.isNotNull(), F.concat(F.lit('"'), text, F.lit('"')))
+    elif isinstance(data_type, (*_TEMPORAL, T.BinaryType)):
+        text = F.concat(F.lit('"'), json_ready(value, data_type), F.lit('"'))
     elif isinstance(data_type, _NESTED):
         text = _json(value)
-    else:
-        wrapped = _json(F.array(json_ready(value, data_type)))
+    elif not isinstance(data_type, (T.NumericType, T.BooleanType)):
+        wrapped = _json(F.array(text))
         text = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
     return F.coalesce(text, F.lit("null"))
 

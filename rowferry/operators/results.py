@@ -19,6 +19,8 @@ SAMPLE_ROWS = 10
 CHAR_WIDTH = 6.5
 CELL_PADDING = 12.0
 
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
+
 # Up to here a page is cut from a plain top-k; beyond, only its range of the order is sorted.
 _SHALLOW_ROWS = 10_000
 
@@ -141,12 +143,16 @@ def header_sample(df: DataFrame, order_by: list[str], rows: int = SAMPLE_ROWS) -
     return first.select("place", *cells).unionByName(names)
 
 
-def _shown_length(field: T.StructField) -> Column:
-    column = field_column(field)
-    nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
-    text = json_value(column, field.dataType) if nested else cell_text(column, field.dataType)
-    length = F.length(text) if isinstance(field.dataType, (T.NumericType, T.BooleanType)) else shown_length(text)
-    return F.greatest(F.lit(2), F.when(column.isNull(), F.lit(4)).otherwise(length))
+def _longest(field: T.StructField) -> Column:
+    """The aggregate of a column that gives its longest shown text."""
+    column, kind = field_column(field), field.dataType
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        # Of whole numbers, or ones of the same scale, the least or the greatest is longest.
+        ends = [F.length(end(column).cast("string")) for end in (F.min, F.max)]
+        return F.greatest(*ends, F.when(F.count_if(column.isNull()) > 0, F.lit(4)))
+    text = json_value(column, kind) if isinstance(kind, _NESTED) else cell_text(column, kind)
+    length = shown_length(text) if isinstance(kind, (T.StringType, *_NESTED)) else F.length(text)
+    return F.max(F.when(column.isNull(), F.lit(4)).otherwise(length))
 
 
 def display_profile(df: DataFrame) -> DataFrame:
@@ -156,7 +162,7 @@ def display_profile(df: DataFrame) -> DataFrame:
     aggregated.
     """
     fields = df.schema.fields
-    longest = df.agg(*[F.max(_shown_length(f)).alias(f"c{i}") for i, f in enumerate(fields)])
+    longest = df.agg(*[F.greatest(F.lit(2), _longest(f)).alias(f"c{i}") for i, f in enumerate(fields)])
     rows = F.array(
         *[
             F.struct(

@@ -39,7 +39,7 @@ ORIGINS = ["table", "query", "csv", "json", "jsonTabular", "xlsx"]
 DESTINATIONS = ["table", "new table", "csv", "json", "jsonTabular", "xlsx"]
 
 
-@pytest.mark.parametrize(("origin", "destination"), itertools.product(ORIGINS, DESTINATIONS))
+@pytest.mark.parametrize(("origin", "destination"), list(itertools.product(ORIGINS, DESTINATIONS)))
 def test_copy_matrix(spark, tmp_path, people, origin, destination):
     """Every origin into every destination; the values arrive, and the counts are right."""
     source = Endpoint("table", table=people)
@@ -126,13 +126,15 @@ def test_staged_append(spark, people, table):
 
 
 def test_schema_and_odd_names(spark, people):
-    spark.sql("CREATE DATABASE IF NOT EXISTS `odd-db`")
-    target = Endpoint("table", schema="odd-db", table="my`table", new_table=True)
-    assert target.qualified_table() == "`odd-db`.`my``table`"
-    if not spark.catalog.tableExists("`odd-db`.my_table"):
-        plain = Endpoint("table", schema="odd-db", table="my_table", new_table=True)
-        copy(spark, Endpoint("table", table=people), plain)
-        assert rows(read_endpoint(spark, plain)) == rows(spark.table(people))
+    assert Endpoint("table", schema="a-b", table="my`table").qualified_table() == "`a-b`.`my``table`"
+    spark.sql("CREATE DATABASE IF NOT EXISTS side")
+    target = Endpoint("table", schema="side", table=new_name(), new_table=True)
+    odd = Endpoint("query", query=f"SELECT id AS `a b`, name AS `c.d`, score AS `e``f` FROM {people}")
+    copy(spark, odd, target)
+    assert spark.table(target.qualified_table()).columns == ["a b", "c.d", "e`f"]
+    assert rows(read_endpoint(spark, target)) == rows(spark.table(people))
+    copy(spark, odd, Endpoint("table", schema="side", table=target.table))
+    assert read_endpoint(spark, target).count() == 6
 
 
 def test_positional_insert(spark, people):
