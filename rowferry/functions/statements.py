@@ -8,6 +8,8 @@ starts with it.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +70,14 @@ def classify_statements(df: DataFrame, sql: str, vendor: str) -> DataFrame:
 def is_valid_identifier(name: Column) -> Column:
     """A letter or underscore, then letters, digits, underscores or ``$``; 63 at most."""
     return F.rlike(name, F.lit(r"\A[_\p{L}][_\p{L}\p{N}$]*+\z")) & (F.length(name) <= MAX_IDENTIFIER_LENGTH)
+
+
+def is_identifier(name: str) -> bool:
+    """The same rule for one name on the driver."""
+    kinds = [unicodedata.category(letter)[0] for letter in name]
+    first, rest = name[:1], zip(name[1:], kinds[1:], strict=True)
+    return (
+        0 < len(name) <= MAX_IDENTIFIER_LENGTH
+        and (first == "_" or kinds[0] == "L")
+        and all(letter in "_$" or kind in "LN" for letter, kind in rest)
+    )

@@ -34,22 +34,33 @@ def read_endpoint(spark: SparkSession, endpoint: Endpoint) -> DataFrame:
     if endpoint.type == "query":
         if endpoint.jdbc is not None:
             return tables.read_database_query(spark, endpoint)
-        return tables.read_query(spark, endpoint.query, endpoint.args)
+        return tables.read_query(spark, endpoint.query, endpoint.args, endpoint.schema)
     if endpoint.type == "file" and endpoint.format in READERS:
         options = {key: value for key, value in endpoint.options.items() if key != "infer"}
         return READERS[endpoint.format](spark, endpoint.path, **options)
     raise ValueError(f"unsupported reader. type: {endpoint.type}, format: {endpoint.format}")
 
 
+def spread(df: DataFrame, endpoint: Endpoint) -> DataFrame:
+    """The rows in as many partitions, and so files, as the destination asks for."""
+    partitions = endpoint.options.get("partitions")
+    return df.repartition(partitions) if partitions else df
+
+
 def write_endpoint(df: DataFrame, endpoint: Endpoint) -> None:
     """Write rows to a destination."""
+    _write(spread(df, endpoint), endpoint)
+
+
+def _write(df: DataFrame, endpoint: Endpoint) -> None:
     if endpoint.type == "table":
         if endpoint.new_table:
             tables.create_table(df, endpoint)
         else:
             tables.append_to_table(df, endpoint)
     elif endpoint.type == "file" and endpoint.format in WRITERS:
-        WRITERS[endpoint.format](df, endpoint.path, **endpoint.options)
+        options = {key: value for key, value in endpoint.options.items() if key != "partitions"}
+        WRITERS[endpoint.format](df, endpoint.path, **options)
     else:
         raise ValueError(f"unsupported writer. type: {endpoint.type}, format: {endpoint.format}")
 
@@ -64,19 +75,20 @@ def has_types(endpoint: Endpoint) -> bool:
 def copy(spark: SparkSession, origin: Endpoint, destination: Endpoint) -> DataFrame:
     """Copy all rows, in one pass; give one row with the numbers read and written.
 
-    The counts are taken on the way, by the tasks that write. If any task fails
-    for good, nothing shows at the destination.
+    The counts are taken by the tasks that write. Any shuffle comes before, so
+    that a map task that runs again after a loss counts nothing twice. If a task
+    fails for good, nothing shows at the destination.
     """
     if destination.type == "table" and destination.new_table and not has_types(origin):
         raise ValueError("columns and types mismatch or empty")
-    rows = read_endpoint(spark, origin)
+    rows = spread(read_endpoint(spark, origin), destination)
     reads, writes = Observation(), Observation()
     rows = rows.observe(reads, F.count(F.lit(1)).alias("n"))
     if destination.type == "table" and not destination.new_table and destination.jdbc is None:
         target = spark.table(destination.qualified_table()).schema
         rows = tables.fit_to_table(rows, target)
     rows = rows.observe(writes, F.count(F.lit(1)).alias("n"))
-    write_endpoint(rows, destination)
+    _write(rows, destination)
     return report(spark, reads.get["n"], writes.get["n"])
 
 

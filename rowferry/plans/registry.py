@@ -55,20 +55,16 @@ def scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_endpoint(spark, Endpoint("query", query=REVENUE, args={"least": 50000.0}))
 
 
-def _through_files(
-    spark: SparkSession, df: DataFrame, file_format: str, typed: bool = False, **options
-) -> DataFrame:
+def _through_files(spark: SparkSession, sf_dir: str, table: str, file_format: str, typed: bool = False) -> DataFrame:
     """Copy a table to a fresh folder of files and read it back under its own types."""
     ship_package(spark)
+    df = load(spark, sf_dir, table)
     # A scan of few splits is small; spread over the cores it costs one bounded shuffle.
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    view = f"origin_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(view)
+    options = {"partitions": cores} if df.rdd.getNumPartitions() < cores else {}
+    derived.register_tables(spark, sf_dir, table)
     folder = scratch_path(spark, file_format)
-    copy(spark, Endpoint("table", table=view), Endpoint("file", format=file_format, path=folder, options=options))
-    spark.catalog.dropTempView(view)
+    copy(spark, Endpoint("table", table=table), Endpoint("file", format=file_format, path=folder, options=options))
     read_options = {"schema": df.schema} if typed else {}
     back = read_endpoint(spark, Endpoint("file", format=file_format, path=folder, options=read_options))
     return tables.insert_positional(back, df.schema)
@@ -76,22 +72,22 @@ def _through_files(
 
 @query
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "documents"), "csv")
+    return _through_files(spark, sf_dir, "documents", "csv")
 
 
 @query
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "events"), "json")
+    return _through_files(spark, sf_dir, "events", "json")
 
 
 @query
 def scan_json_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "orders"), "jsonTabular")
+    return _through_files(spark, sf_dir, "orders", "jsonTabular")
 
 
 @query
 def scan_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "customer"), "xlsx")
+    return _through_files(spark, sf_dir, "customer", "xlsx")
 
 
 # ---------------------------------------------------------------- copies
@@ -99,22 +95,22 @@ def scan_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def copy_table_to_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "lineitem"), "csv")
+    return _through_files(spark, sf_dir, "lineitem", "csv")
 
 
 @query
 def copy_table_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "lineitem"), "json", typed=True)
+    return _through_files(spark, sf_dir, "lineitem", "json", typed=True)
 
 
 @query
 def copy_table_to_json_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "lineitem"), "jsonTabular")
+    return _through_files(spark, sf_dir, "lineitem", "jsonTabular")
 
 
 @query
 def copy_table_to_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _through_files(spark, load(spark, sf_dir, "lineitem"), "xlsx", typed=True)
+    return _through_files(spark, sf_dir, "lineitem", "xlsx", typed=True)
 
 
 @query

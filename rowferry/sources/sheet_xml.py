@@ -1,4 +1,4 @@
-"""One workbook's first sheet as rows of cells, and rows as a one-sheet workbook.
+"""One workbook's first sheet as rows of cells, and Arrow batches as a one-sheet workbook.
 
 Small helpers for the tasks that read and write workbooks. Both directions
 stream the sheet, so that a task holds a batch of rows and not the sheet.
@@ -6,6 +6,7 @@ stream the sheet, so that a task holds a batch of rows and not the sheet.
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import re
 import zipfile
@@ -14,6 +15,9 @@ from typing import BinaryIO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # The most rows a sheet holds, and the names of the format.
 MAX_SHEET_ROWS = 1_048_576
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -45,11 +49,14 @@ _PACKAGE = {
     ),
 }
 
+_VALUE, _INLINE = _MAIN + "v", _MAIN + "is"
+
 # Kinds of cells.
 NUMBER, FLAG, TEXT, EMPTY = "n", "b", "s", "e"
 
 # Characters that XML cannot hold, and texts that look like their escape.
 _UNSAFE = re.compile(r"_(?=x[0-9A-Fa-f]{4}_)|[\x00-\x08\x0b-\x1f￾￿]")
+_UNSAFE_RE2 = r"_x[0-9A-Fa-f]{4}_|[\x00-\x08\x0b-\x1f\x{FFFE}\x{FFFF}]"
 _ESCAPED = re.compile(r"_x([0-9A-Fa-f]{4})_")
 
 
@@ -65,6 +72,8 @@ def _restore(text: str) -> str:
 
 def _text_of(node: ElementTree.Element) -> str:
     """The text of a rich or plain string, without its phonetic hints."""
+    if len(node) == 1 and node[0].tag == _MAIN + "t":
+        return _restore(node[0].text or "")
     parts = []
     for child in node:
         if child.tag == _MAIN + "t":
@@ -100,90 +109,116 @@ def _shared_texts(package: zipfile.ZipFile) -> list[str]:
 
 def _column_index(reference: str) -> int:
     index = 0
-    for letter in reference:
-        if not letter.isalpha():
-            break
-        index = index * 26 + ord(letter.upper()) - 64
+    for letter in reference.rstrip("0123456789").upper():
+        index = index * 26 + ord(letter) - 64
     return index - 1
 
 
 def _cell(node: ElementTree.Element, shared: list[str]) -> tuple[str, str]:
     kind = node.get("t", NUMBER)
+    child = node[0] if len(node) == 1 else node.find(_INLINE if kind == "inlineStr" else _VALUE)
+    if child is None:
+        return EMPTY, ""
     if kind == "inlineStr":
-        inline = node.find(_MAIN + "is")
-        text = "" if inline is None else _text_of(inline)
-        return (TEXT, text) if inline is not None else (EMPTY, "")
-    value = node.find(_MAIN + "v")
-    text = "" if value is None else value.text or ""
-    if text == "":
+        return TEXT, _text_of(child)
+    text = child.text if child.tag == _VALUE else None
+    if not text:
         return EMPTY, ""
-    if kind == "s":
-        return TEXT, shared[int(text)]
-    if kind == "b":
-        return FLAG, "true" if text == "1" else "false"
     if kind == NUMBER:
         try:
             float(text)
             return NUMBER, text
         except ValueError:
             return TEXT, text
+    if kind == "s":
+        return TEXT, shared[int(text)]
+    if kind == "b":
+        return FLAG, "true" if text == "1" else "false"
     return TEXT, _restore(text)
 
 
+def _row(node: ElementTree.Element, shared: list[str], positions: dict[str, int]) -> list[tuple[str, str]]:
+    cells: list[tuple[str, str]] = []
+    for child in node:
+        reference = child.get("r")
+        if reference:
+            letters = reference.rstrip("0123456789")
+            position = positions.get(letters)
+            if position is None:
+                position = positions[letters] = _column_index(letters)
+            while len(cells) < position:
+                cells.append((EMPTY, ""))
+        cells.append(_cell(child, shared))
+    return cells
+
+
 def read_rows(file: BinaryIO) -> Iterator[list[tuple[str, str]]]:
-    """Rows of (kind, text) cells. Gaps before a row's last cell are empty cells."""
+    """Rows of (kind, text) cells. Gaps before a row's last cell are empty cells.
+
+    The sheet's tree grows with each chunk, and the rows that a chunk completes
+    are taken off it again.
+    """
     with zipfile.ZipFile(file) as package:
-        shared = _shared_texts(package)
+        shared, positions = _shared_texts(package), {}
+        builder = ElementTree.TreeBuilder()
+        top = builder.start("top", {})
+        parser = ElementTree.XMLParser(target=builder)
         with package.open(_first_sheet(package)) as stream:
-            data = None
-            for event, node in ElementTree.iterparse(stream, events=("start", "end")):
-                if event == "start":
-                    if node.tag == _MAIN + "sheetData":
-                        data = node
+            more = True
+            while more:
+                chunk = stream.read(1 << 18)
+                more = bool(chunk)
+                parser.feed(chunk)
+                data = top.find(f"*/{_MAIN}sheetData")
+                if data is None:
                     continue
-                if node.tag != _MAIN + "row":
-                    continue
-                cells: list[tuple[str, str]] = []
-                for cell in node.iter(_MAIN + "c"):
-                    reference = cell.get("r")
-                    position = _column_index(reference) if reference else len(cells)
-                    cells.extend([(EMPTY, "")] * (position - len(cells)))
-                    cells.append(_cell(cell, shared))
-                yield cells
-                if data is not None:
-                    data.clear()
-
-
-def _cell_xml(value) -> str:
-    if value is None:
-        return "<c/>"
-    if isinstance(value, bool):
-        return f'<c t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, int):
-        return f"<c><v>{value}</v></c>"
-    if isinstance(value, float):
-        if value != value or value in (float("inf"), float("-inf")):
-            return f'<c t="inlineStr"><is><t>{value}</t></is></c>'
-        return f"<c><v>{value!r}</v></c>"
-    return f'<c t="inlineStr"><is><t xml:space="preserve">{_protect(value)}</t></is></c>'
-
-
-def write_rows(target: BinaryIO, header: list[str], rows: Iterable[tuple]) -> int:
-    """Write a workbook with one sheet; give the number of rows below the header."""
-    count = 0
+                # The last row may still be open unless the sheet has ended.
+                done = len(data) - 1 if more else len(data)
+                for node in data[: max(done, 0)]:
+                    yield _row(node, shared, positions)
+                del data[: max(done, 0)]
+
+
+def _joined(*parts) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _text_cells(texts: pa.Array) -> pa.Array:
+    if pc.any(pc.match_substring_regex(texts, _UNSAFE_RE2)).as_py():
+        texts = pa.array([None if text is None else _protect(text) for text in texts.to_pylist()], pa.string())
+    else:
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            texts = pc.replace_substring(texts, plain, entity)
+    return _joined('<c t="inlineStr"><is><t xml:space="preserve">', texts, "</t></is></c>")
+
+
+def _cells_xml(column: pa.Array) -> pa.Array:
+    """A column as cells: numbers and flags as such, texts inline, nulls empty."""
+    if pa.types.is_boolean(column.type):
+        cells = pc.if_else(column, '<c t="b"><v>1</v></c>', '<c t="b"><v>0</v></c>')
+    elif pa.types.is_floating(column.type):
+        texts = column.cast(pa.float64()).cast(pa.string())
+        cells = pc.if_else(pc.is_finite(column), _joined("<c><v>", texts, "</v></c>"), _text_cells(texts))
+    elif pa.types.is_integer(column.type):
+        cells = _joined("<c><v>", column.cast(pa.string()), "</v></c>")
+    else:
+        cells = _text_cells(column.cast(pa.string()))
+    return pc.fill_null(cells, "<c/>")
+
+
+def _rows_xml(batch: pa.RecordBatch) -> bytes:
+    rows = _joined("<row>", *[_cells_xml(column) for column in batch.columns], "</row>")
+    return "".join(rows.to_pylist()).encode()
+
+
+def write_rows(target: BinaryIO, header: list[str], batches: Iterable[pa.RecordBatch]) -> None:
+    """Write a workbook with one sheet: the header, then the rows of the batches."""
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as package:
         for name, text in _PACKAGE.items():
             package.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
         with package.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
-            head = "".join(_cell_xml(name) for name in header)
-            sheet.write(f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData><row>{head}</row>'.encode())
-            pending: list[str] = []
-            for row in rows:
-                pending.append(f"<row>{''.join(map(_cell_xml, row))}</row>")
-                count += 1
-                if len(pending) == 5_000:
-                    sheet.write("".join(pending).encode("utf-8", "surrogatepass"))
-                    pending.clear()
-            sheet.write("".join(pending).encode("utf-8", "surrogatepass"))
+            sheet.write(f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>'.encode())
+            names = pa.RecordBatch.from_arrays([pa.array([n], pa.string()) for n in header], [f"{i}" for i in range(len(header))])
+            for batch in itertools.chain((names,), batches):
+                sheet.write(_rows_xml(batch))
             sheet.write(b"</sheetData></worksheet>")
-    return count

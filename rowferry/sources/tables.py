@@ -13,10 +13,15 @@ from pyspark.sql import types as T
 
 from rowferry.endpoint import Endpoint
 from rowferry.functions.sqltypes import create_table_statement, quoted
+from rowferry.functions.statements import is_identifier
 from rowferry.functions.texts import quoted_name
 from rowferry.plans.session import scratch_path
 
 
+# How a session's schema is set, where a vendor has that.
+SET_SCHEMA = {"mssql": "use {}", "postgresql": "set schema '{}'", "clickhouse": "use {}"}
+
+
 def read_table(spark: SparkSession, endpoint: Endpoint) -> DataFrame:
     """All rows of a table.
 
@@ -28,14 +33,37 @@ def read_table(spark: SparkSession, endpoint: Endpoint) -> DataFrame:
     return _jdbc(spark, endpoint).option("dbtable", _database_name(endpoint)).load()
 
 
-def read_query(spark: SparkSession, query: str, args: Mapping[str, Any] | None = None) -> DataFrame:
-    """The result of a query over registered tables, with named parameters."""
-    return spark.sql(query, args=dict(args)) if args else spark.sql(query)
+def read_query(
+    spark: SparkSession, query: str, args: Mapping[str, Any] | None = None, schema: str | None = None
+) -> DataFrame:
+    """The result of a query over registered tables, with named parameters.
+
+    With ``schema`` its unqualified tables are of that schema. Names are bound
+    when the query is analysed, so that the session's own schema is set back at
+    once.
+    """
+    current = spark.catalog.currentDatabase()
+    if schema is not None:
+        spark.catalog.setCurrentDatabase(schema)
+    try:
+        return spark.sql(query, args=dict(args)) if args else spark.sql(query)
+    finally:
+        if schema is not None:
+            spark.catalog.setCurrentDatabase(current)
 
 
 def read_database_query(spark: SparkSession, endpoint: Endpoint) -> DataFrame:
-    """The result of a query that the database runs."""
-    return _jdbc(spark, endpoint).option("query", endpoint.query).load()
+    """The result of a query that the database runs, in the schema that the endpoint names."""
+    reader = _jdbc(spark, endpoint).option("query", endpoint.query)
+    statement = schema_statement(endpoint.vendor, endpoint.schema) if endpoint.schema else ""
+    return (reader.option("sessionInitStatement", statement) if statement else reader).load()
+
+
+def schema_statement(vendor: str, schema: str) -> str:
+    """What sets the schema of a database session; '' where the vendor has no such thing."""
+    if not is_identifier(schema):
+        raise ValueError(f"invalid identifier {schema}")
+    return SET_SCHEMA.get(vendor, "").format(schema)
 
 
 def _jdbc(spark: SparkSession, endpoint: Endpoint):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +20,29 @@ class _Written(WriterCommitMessage):
     names: list[str]
 
 
+class _Pieces:
+    """Cuts a stream of batches into runs of so many rows."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], rows: int):
+        self.batches, self.rows = batches, rows
+        self.pending: pa.RecordBatch | None = None
+
+    def any_left(self) -> bool:
+        while self.pending is None or len(self.pending) == 0:
+            self.pending = next(self.batches, None)
+            if self.pending is None:
+                return False
+        return True
+
+    def next_workbook(self) -> Iterator[pa.RecordBatch]:
+        room = self.rows
+        while room and self.any_left():
+            part = self.pending.slice(0, room)
+            self.pending = self.pending.slice(len(part))
+            room -= len(part)
+            yield part
+
+
 class WorkbookWriter(DataSourceArrowWriter):
     """Writes each partition as one workbook, or several if a sheet overflows.
 
@@ -45,19 +67,14 @@ class WorkbookWriter(DataSourceArrowWriter):
         staging = f"{folder}/_temporary-{self.job}"
         files.create_dir(staging, recursive=True)
         partition = TaskContext.get().partitionId()
-        rows = itertools.chain.from_iterable(
-            zip(*[column.to_pylist() for column in batch.columns], strict=True) for batch in iterator
-        )
         names: list[str] = []
-        first = next(rows, None)
+        pieces = _Pieces(iterator, self.rows_per_workbook)
         # The first partition writes even if it is empty, so that the header is never lost.
-        while first is not None or (partition == 0 and not names):
+        while pieces.any_left() or (partition == 0 and not names):
             name = f"part-{partition:05d}-{len(names):03d}-{uuid.uuid4().hex}.xlsx"
-            part = itertools.islice(rows, self.rows_per_workbook - 1)
             with files.open_output_stream(f"{staging}/{name}") as stream:
-                sheet_xml.write_rows(stream, self.header, itertools.chain(() if first is None else (first,), part))
+                sheet_xml.write_rows(stream, self.header, pieces.next_workbook())
             names.append(name)
-            first = next(rows, None)
         return _Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

@@ -133,19 +133,14 @@ def write_workbooks(
     df: DataFrame,
     path: str,
     mode: str = "errorifexists",
-    partitions: int | None = None,
     rows_per_workbook: int = sheet_xml.MAX_SHEET_ROWS - 1,
 ) -> None:
-    """Numbers and flags as such, null as an empty cell, all else as text.
-
-    There is one workbook per partition, so that ``partitions`` sets how many
-    workbooks and tasks there are; by default the plan's partitions are kept.
-    """
+    """A workbook per partition: numbers and flags as such, null as an empty cell, all else as text."""
     spark = df.sparkSession
     if mode == "errorifexists" and path_exists(spark, path):
         raise FileExistsError(path)
     spark.dataSource.register(WorkbookSource)
-    native = (T.NumericType, T.BooleanType, T.StringType)
+    native = (T.IntegralType, T.FractionalType, T.BooleanType)
     cells = df.select(
         *[
             (
@@ -156,8 +151,6 @@ def write_workbooks(
             for f in df.schema
         ]
     )
-    if partitions:
-        cells = cells.repartition(partitions)
     writer = cells.write.format("workbook").option("path", path).option("rowsPerWorkbook", rows_per_workbook)
     writer.mode("append").save()
 

@@ -125,6 +125,43 @@ def test_staged_append(spark, people, table):
     assert spark.table(table).count() == 6
 
 
+@pytest.mark.parametrize("destination", ["csv", "json", "jsonTabular", "xlsx", "table", "new table"])
+@pytest.mark.parametrize("empty", ["WHERE false", "WHERE id > 99"])
+def test_copy_of_nothing(spark, tmp_path, people, table, destination, empty):
+    target = {
+        "table": Endpoint("table", table=table),
+        "new table": Endpoint("table", table=new_name(), new_table=True),
+    }.get(destination, Endpoint("file", format=destination, path=str(tmp_path / "out")))
+    origin = Endpoint("query", query=f"SELECT id, name FROM {people} {empty}")
+    assert tuple(copy(spark, origin, target).first()) == (0, 0)
+    if destination not in ("json", "table"):
+        back = read_endpoint(spark, target)
+        assert back.columns == ["id", "name"] and back.count() == 0
+
+
+def test_partitions_set_the_number_of_files(spark, tmp_path, people):
+    target = Endpoint("file", format="csv", path=str(tmp_path / "out"), options={"partitions": 2})
+    assert tuple(copy(spark, Endpoint("table", table=people), target).first()) == (3, 3)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 2
+
+
+def test_query_in_a_schema(spark, people):
+    spark.sql("CREATE DATABASE IF NOT EXISTS aside")
+    name = new_name()
+    copy(spark, Endpoint("table", table=people), Endpoint("table", schema="aside", table=name, new_table=True))
+    found = read_endpoint(spark, Endpoint("query", schema="aside", query=f"SELECT * FROM {name}"))
+    assert spark.catalog.currentDatabase() == "default"
+    assert rows(found) == rows(spark.table(people))
+
+
+def test_schema_statements():
+    made = {vendor: tables.schema_statement(vendor, "s_1") for vendor in ("mssql", "mysql", "postgresql", "sqlite3", "clickhouse")}
+    assert made == {"mssql": "use s_1", "mysql": "", "postgresql": "set schema 's_1'", "sqlite3": "", "clickhouse": "use s_1"}
+    for bad in ("a-b", "1a", "", "a" * 64, "x; drop table t"):
+        with pytest.raises(ValueError, match="invalid identifier"):
+            tables.schema_statement("mssql", bad)
+
+
 def test_schema_and_odd_names(spark, people):
     assert Endpoint("table", schema="a-b", table="my`table").qualified_table() == "`a-b`.`my``table`"
     spark.sql("CREATE DATABASE IF NOT EXISTS side")

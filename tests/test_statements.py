@@ -112,3 +112,4 @@ def test_identifiers(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     found = {r.n: r.v for r in df.select("n", statements.is_valid_identifier(F.col("n")).alias("v")).collect()}
     assert found == names
+    assert {n: statements.is_identifier(n) for n in names} == names
