@@ -25,7 +25,7 @@ from rowferry.functions.texts import quoted_name
 ROWS_PER_RANGE = 50_000
 MAX_RANGES = 10_000
 _SAMPLES_PER_RANGE = 20
-_RANGE = "__range"
+_RANGE, _KEY = "__range", "__key"
 
 
 def _columns(names: list[str]) -> list[Column]:
@@ -60,18 +60,25 @@ class Ranges:
         """The key at the start of a range, null for range 0."""
         return F.get(self.constant(), number - 1 if isinstance(number, Column) else F.lit(number - 1))
 
-    def index(self) -> Column:
-        """The range of a row: the number of cuts at or before its key, by bisection."""
+    def key(self) -> Column:
+        """A row's key as a struct that compares with a cut."""
+        return _struct(self.schema.fieldNames())
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Add each row's range: the number of cuts at or before its key.
+
+        A bisection, one projection a step, all of them in one stage of
+        generated code. A step beyond the last cut compares with null.
+        """
         if not self.cuts:
-            return F.lit(0)
-        cuts, key, count = self.constant(), _struct(self.schema.fieldNames()), self.last
-        return F.aggregate(
-            F.array(*[F.lit(1 << bit) for bit in reversed(range(count.bit_length()))]),
-            F.lit(0),
-            lambda found, step: F.when(
-                (found + step <= count) & (F.get(cuts, found + step - 1) <= key), found + step
-            ).otherwise(found),
-        )
+            return df.withColumn(_RANGE, F.lit(0))
+        cuts, place = self.constant(), F.col(_RANGE)
+        df = df.withColumns({_KEY: self.key(), _RANGE: F.lit(0)})
+        for bit in reversed(range(self.last.bit_length())):
+            step = 1 << bit
+            reached = F.get(cuts, place + (step - 1)) <= F.col(_KEY)
+            df = df.withColumn(_RANGE, F.when(reached, place + step).otherwise(place))
+        return df.drop(_KEY)
 
 
 def find_ranges(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE) -> Ranges:
@@ -91,7 +98,7 @@ def find_ranges(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_R
 
 def _counts(df: DataFrame, ranges: Ranges, counted: Column) -> list[int]:
     """For each range but the last, the rows for which a condition holds: one number a range."""
-    placed = df.withColumn(_RANGE, ranges.index())
+    placed = ranges.place(df)
     counts = dict(placed.groupBy(_RANGE).agg(F.count_if(counted)).collect())
     return [counts.get(i, 0) for i in range(ranges.last)]
 
@@ -129,11 +136,13 @@ def number_rows(
 ) -> DataFrame:
     """Number the rows from 1 in an order, over all rows or within each group.
 
-    The group and order columns together must be unique.
+    The group and order columns together must be unique. The table is gone
+    through for its size, a sample, the ranges' sizes (these read the keys only)
+    and the result: a costly plan had better be written or checkpointed first.
     """
     group_by = group_by or []
     ranges = find_ranges(df, [*group_by, *order_by], rows_per_range)
-    placed = df.withColumn(_RANGE, ranges.index())
+    placed = ranges.place(df)
     window = Window.partitionBy(_RANGE, *_columns(group_by)).orderBy(*_columns(order_by))
     number = F.row_number().over(window).cast("long")
     if ranges.cuts:

@@ -104,16 +104,14 @@ def page(df: DataFrame, order_by: list[str], number: int, size: int = PAGE_SIZE)
     before = rows_before(df, ranges)
     first = max(i for i, rows in enumerate(before) if rows <= start)
     last = max(i for i, rows in enumerate(before) if rows < start + size)
-    near = df.where(ranges.index().between(first, last))
-    # A bound on the leading column alone reaches the scan. Nulls sort first, so that
-    # rows with one can only lie in the page's ranges if the lower cut is null as well.
-    leading, key = columns[0], order_by[0]
+    # The bounds on the leading column alone reach the scan. Nulls sort first.
+    near, leading = df, columns[0]
     if first > 0:
-        lower = ranges.cut(first)[key]
-        near = near.where(lower.isNull() | (leading >= lower))
-        if last < ranges.last:
-            upper = ranges.cut(last + 1)[key]
-            near = near.where(lower.isNull() | (leading <= upper))
+        lower = ranges.cut(first)
+        near = near.where((ranges.key() >= lower) & (lower[order_by[0]].isNull() | (leading >= lower[order_by[0]])))
+    if last < ranges.last:
+        upper = ranges.cut(last + 1)
+        near = near.where((ranges.key() < upper) & (leading.isNull() | (leading <= upper[order_by[0]])))
     return near.orderBy(*columns).offset(start - before[first]).limit(size)
 
 

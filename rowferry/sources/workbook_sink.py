@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -79,9 +80,9 @@ class WorkbookWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, folder = self._folder()
-        for message in messages:
-            for name in message.names if message else ():
-                files.move(f"{folder}/_temporary-{self.job}/{name}", f"{folder}/{name}")
+        names = [name for message in messages if message for name in message.names]
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda name: files.move(f"{folder}/_temporary-{self.job}/{name}", f"{folder}/{name}"), names))
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
