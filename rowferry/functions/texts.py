@@ -203,10 +203,14 @@ def render_cells(df: DataFrame) -> DataFrame:
     return df.select(*[cell_text(field_column(f), f.dataType).alias(f.name) for f in df.schema])
 
 
+# Type names whose columns are set flush left, besides those with "char".
+LEFT_TYPES = ("string", "name", "text", "unknown")
+
+
 def aligns_right(type_name: str) -> bool:
     """Whether a result column of that type is set flush right."""
     lowered = type_name.lower()
-    return lowered not in ("string", "name", "text", "unknown") and "char" not in lowered
+    return not ("char" in lowered or lowered in LEFT_TYPES)
 
 
 def shown_length(text: Column) -> Column:

@@ -248,8 +248,7 @@ ORACLES: dict[str, str] = {
     "dict_schemas": rf"{_COLUMNS} SELECT DISTINCT table_schema FROM columns WHERE table_schema NOT LIKE 'pg\_%' ESCAPE '\'",
     "distinct_lower": f"{_COLUMNS} SELECT DISTINCT lower(table_name) AS table_name FROM columns",
     "dict_tables": f"{_COLUMNS} SELECT DISTINCT table_schema, table_name FROM columns WHERE table_type = 'BASE TABLE'",
-    "dict_views": f"""{_COLUMNS} SELECT DISTINCT table_name FROM columns
-        WHERE table_type = 'VIEW' AND table_schema = 'Brand#2'""",
+    "dict_views": f"{_COLUMNS} SELECT DISTINCT table_schema, table_name FROM columns WHERE table_type = 'VIEW'",
     "dict_columns": f"""{_COLUMNS} SELECT table_schema, table_name, ordinal, column_name, data_type, max_length, nullable,
         default_value, CASE WHEN table_type = 'BASE TABLE' AND (ordinal = 1 OR ordinal = 2 AND length(table_name) < 10)
             THEN 'YES' ELSE 'NO' END AS is_primary_key FROM columns""",

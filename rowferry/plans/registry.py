@@ -445,7 +445,7 @@ def dict_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dict_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.dict_views(derived.columns(spark, sf_dir), schema="Brand#2")
+    return dictionary.dict_views(derived.columns(spark, sf_dir))
 
 
 @query
