@@ -1,5 +1,6 @@
 import datetime as dt
 import decimal
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,26 @@ def test_float_texts(spark):
     assert [(r.f, r.s) for r in shown.orderBy("i").collect()] == [(f, s) for _, f, s in FLOATS]
 
 
+def shortest(value, plain_from, plain_to, width):
+    """A float's shortest digits, plain within two exponents and else with an exponent."""
+    number = decimal.Decimal(repr(value)).normalize()
+    if plain_from <= number.adjusted() < plain_to:
+        return f"{number:f}"
+    mantissa, _, exponent = f"{number:e}".partition("e")
+    return f"{mantissa}e{'-' if int(exponent) < 0 else '+'}{abs(int(exponent)):0{width}d}"
+
+
+def test_float_texts_of_many_sizes(spark):
+    rng = random.Random(3)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 15) for _ in range(3_000)]
+    values += [round(rng.uniform(0, 1e8), rng.randint(0, 4)) for _ in range(3_000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    shown = df.select("i", texts.float_text(F.col("v")).alias("f"), texts.script_number_text(F.col("v")).alias("s"))
+    for row in shown.collect():
+        value = values[row.i]
+        assert (row.f, row.s) == (shortest(value, -4, 6, 2), shortest(value, -6, 21, 1))
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_time_texts(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
