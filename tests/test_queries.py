@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__
 from rowferry.plans.derived import TABLES
+from rowferry.plans.oracles import ORACLES
+from rowferry.plans.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,11 @@ def test_only_widths_have_no_oracle():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert 0 < len(rows) <= 500
