@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm import decontamination, exact_dedup
+from rowferry.llm import bpe, decontamination, exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         decontamination.op1_benchmark_decontamination,
+        bpe.op3_bpe,
         exact_dedup.op7_exact_dedup,
     )
 }
