@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm import bpe, decontamination, exact_dedup
+from rowferry.llm import bpe, decontamination, exact_dedup, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decontamination.op1_benchmark_decontamination,
         bpe.op3_bpe,
         exact_dedup.op7_exact_dedup,
+        records.op8_token_records,
     )
 }
 
