@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm import bpe, decontamination, exact_dedup, records, toxicity
+from rowferry.llm import bpe, decontamination, exact_dedup, quality, records, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bpe.op3_bpe,
         exact_dedup.op7_exact_dedup,
         records.op8_token_records,
+        quality.op9_quality,
         toxicity.op10_toxicity,
     )
 }
