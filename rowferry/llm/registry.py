@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm import bpe, decontamination, exact_dedup, quality, records, toxicity
+from rowferry.llm import bpe, decontamination, exact_dedup, quality, records, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         decontamination.op1_benchmark_decontamination,
+        warc.op2_warc,
         bpe.op3_bpe,
+        url_filter.op6_url_filter,
         exact_dedup.op7_exact_dedup,
         records.op8_token_records,
         quality.op9_quality,
