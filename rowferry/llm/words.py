@@ -110,7 +110,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     n = min(size, len(words))
     count = len(words) - n + 1
     factors, _ = powers(2 * size + 2)
-    total = np.full(count, np.uint64(size - n) * factors[-1], np.uint64)
+    total = np.full(count, (size - n) * int(factors[-1]) % (1 << 64), np.uint64)
     for at in range(n):
         total += words[at : at + count] * factors[2 * at + 1]
     return np.unique(mixed(total))
