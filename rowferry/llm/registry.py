@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm import bpe, decontamination, exact_dedup, ngram_join, quality, records, toxicity, url_filter, warc
+from rowferry.llm import bpe, decontamination, exact_dedup, ngram_join, quality, records, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decontamination.op1_benchmark_decontamination,
         warc.op2_warc,
         bpe.op3_bpe,
+        suffix_dedup.op4_suffix_dedup,
         ngram_join.op5_ngram_join,
         url_filter.op6_url_filter,
         exact_dedup.op7_exact_dedup,
