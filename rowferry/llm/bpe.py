@@ -16,18 +16,20 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowferry.llm.recent import Recent
 from rowferry.plans.session import ship_package
 
-#: Words remembered by a worker; a full memory is emptied.
-CACHED_WORDS = 150_000
+#: Words in a generation of a worker's memory.
+CACHED_WORDS = 100_000
 #: Characters of the texts whose new words are merged together, and ids in a batch that goes back to Spark.
-BATCH_CHARS, BATCH_IDS = 1_000_000, 1_000_000
+BATCH_CHARS, BATCH_IDS = 500_000, 500_000
+#: Rows of an Arrow batch that are turned into Python objects together.
+ROWS = 500
 #: Words of more bytes than this are merged one by one.
 WIDEST = 64
 
@@ -70,7 +72,7 @@ class Vocabulary:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(part["pattern"]["Regex"] for part in spec["pre_tokenizer"]["pretokenizers"] if part["type"] == "Split")
         self.piece = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.recent = Recent(CACHED_WORDS, self.learn)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -80,8 +82,8 @@ class Vocabulary:
 
     # ------------------------------------------------------------ merging
 
-    def merge_rows(self, ids: np.ndarray, counts: np.ndarray) -> list[tuple[int, ...]]:
-        """Merge rows of symbols, counts[i] of them in row i; the row's width is a power of two."""
+    def merge_rows(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Merge rows of symbols, counts[i] of them in row i; the row's width is a power of two. The ids as bytes."""
         n, leaves = ids.shape
         rows = np.arange(n)
         after = np.tile(np.arange(1, leaves + 1), (n, 1))
@@ -117,8 +119,8 @@ class Vocabulary:
             self._update(tree, r, leaves, p, self._leaf(ids, r, leaves, p, at[some], np.ones(len(r), bool)))
         kept = ids >= 0
         kept &= np.arange(leaves) < counts[:, None]
-        flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
-        return [tuple(flat[start:end]) for start, end in zip([0, *ends[:-1]], ends)]
+        flat, ends = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+        return [flat[start:end] for start, end in zip([0, *ends[:-1]], ends)]
 
     def _leaf(self, ids, rows, leaves, at, follower, inside):
         rank = self.ranks(ids[rows, at], ids[rows, np.minimum(follower, leaves - 1)])
@@ -133,7 +135,7 @@ class Vocabulary:
             leaves >>= 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
-    def merge_long(self, ids: list[int]) -> tuple[int, ...]:
+    def merge_long(self, ids: list[int]) -> bytes:
         """The same for one long word, with plain lists."""
         n, none, rank_of = len(ids), float("inf"), self.rank_of
         leaves = 1 << (n - 1).bit_length()
@@ -165,10 +167,14 @@ class Vocabulary:
             update(at)
             if before[at] >= 0:
                 update(before[at])
-        return tuple(i for i in ids if i >= 0)
-
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of words into the cache."""
+        return np.array([i for i in ids if i >= 0], np.int32).tobytes()
+
+    def learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with the bytes of its ids; a special token has one."""
+        yield from ((word, np.int32(self.special[word]).tobytes()) for word in words if word in self.special)
+        words = [word for word in words if word not in self.special]
+        if not words:
+            return
         raw = [word.encode() for word in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -184,11 +190,10 @@ class Vocabulary:
                 if len(part):
                     offset = np.arange(leaves)
                     ids = symbols[np.minimum(starts[part][:, None] + offset, len(symbols) - 1)]
-                    for i, merged in zip(part.tolist(), self.merge_rows(ids, lengths[part])):
-                        self.cache[words[i]] = merged
+                    yield from zip((words[i] for i in part.tolist()), self.merge_rows(ids, lengths[part]))
             low, leaves = leaves, leaves * 2
         for i in np.flatnonzero(lengths > WIDEST).tolist():
-            self.cache[words[i]] = self.merge_long(symbols[starts[i] : ends[i]].tolist())
+            yield words[i], self.merge_long(symbols[starts[i] : ends[i]].tolist())
 
     # ------------------------------------------------------------ texts
 
@@ -210,18 +215,6 @@ class Vocabulary:
                 while part := list(islice(found, BATCH_CHARS // 8)):
                     yield part
 
-    def _know(self, words: Iterator[str]) -> None:
-        """Have the cache hold all of these words."""
-        distinct = set(words)
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        self.cache.update((token, (number,)) for token, number in self.special.items())
-        if new := list(distinct.difference(self.cache)):
-            self.learn(new)
-
-    def _ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.cache.__getitem__, words)), np.int32)
-
     def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; null counts as empty."""
         waiting: list[list[str]] = []
@@ -240,8 +233,8 @@ class Vocabulary:
         yield from self._encode_waiting(waiting)
 
     def _encode_waiting(self, waiting: list[list[str]]) -> list[np.ndarray]:
-        self._know(chain.from_iterable(waiting))
-        return list(map(self._ids, waiting))
+        known = self.recent.know(chain.from_iterable(waiting))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in waiting]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the file names no decoder."""
@@ -290,8 +283,9 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, columns: tuple[str,
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            yield from list_batches(batch.select(range(len(columns))), vocab.encode_batch(texts), "ids")
+            for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
+                texts = part.column(len(columns)).to_pylist()
+                yield from list_batches(part.select(range(len(columns))), vocab.encode_batch(texts), "ids")
 
     fields = chosen.schema.fields[:-1]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "ids array<int>"])
@@ -299,15 +293,29 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, columns: tuple[str,
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
-    """The same rows with ``decoded``, the text of ``ids``."""
+    """The same rows with ``decoded``, the text of ``ids``; null ids count as none."""
     ship_package(spark)
+    chosen = encoded.select(*encoded.columns, F.coalesce("ids", F.array().cast("array<int>")).alias("_ids_to_decode"))
+    n = len(encoded.columns)
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series) -> pd.Series:
+    def run(batches):
         vocab = vocabulary(path)
-        return ids.map(lambda numbers: vocab.decode(numbers.tolist()))
-
-    return encoded.withColumn("decoded", text_of("ids"))
+        for batch in batches:
+            for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
+                lists = part.column(n)
+                ends = lists.offsets.to_numpy()
+                start, upto = 0, 0
+                while start < len(part):  # few rows if they are long
+                    while upto < len(part) and (upto == start or ends[upto + 1] - ends[start] <= BATCH_IDS):
+                        upto += 1
+                    ids = lists.values.slice(ends[start], ends[upto] - ends[start]).to_pylist()
+                    texts = [vocab.decode(ids[ends[i] - ends[start] : ends[i + 1] - ends[start]]) for i in range(start, upto)]
+                    rows = part.slice(start, upto - start)
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:n], pa.array(texts, pa.string())], names=[*rows.schema.names[:n], "decoded"])
+                    start = upto
+
+    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields], "decoded string"]
+    return chosen.mapInArrow(run, ", ".join(fields))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.files import create, fresh_name, opened, shared_uri
+from rowferry.llm.recent import Recent
 from rowferry.llm.scratch import stored
 from rowferry.plans.session import ship_package
 
 #: Text bytes meant for one writing task, and bytes after which a task starts a new file.
 TASK_BYTES, FILE_BYTES = 32 << 20, 64 << 20
-#: Remembered pieces of text in a worker, and characters that are looked up together.
-CACHED_PIECES, BATCH_CHARS = 150_000, 1_000_000
+#: Pieces of text in a generation of a worker's memory, and characters that are looked up together.
+CACHED_PIECES, BATCH_CHARS = 200_000, 1_000_000
 
 _HEAD, _CRC, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
 
@@ -67,7 +68,7 @@ def unframe(data: memoryview, offset: int = 0) -> tuple[int | None, np.ndarray,
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Its files drop white space, so a text is encoded piece by
-    piece between spaces and line breaks, and pieces seen before are remembered."""
+    piece between spaces and line breaks, and pieces seen lately are remembered as bytes of ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -76,17 +77,24 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _know(self, pieces) -> None:
-        wanted = set(pieces)
-        if len(self.cache) > CACHED_PIECES:
-            self.cache.clear()
-        new = list(wanted.difference(self.cache))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items() if token.special}
+        self.between, self.between_id = next(iter(special.items()), (None, None))
+        self.recent = Recent(CACHED_PIECES, self._find)
+
+    def _find(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces are encoded many at a time with a special token between them; those that may hold one, alone."""
+        plain = [piece for piece in pieces if "<" not in piece] if self.between else []
+        alone = [piece for piece in pieces if "<" in piece] if self.between else pieces
+        for at in range(0, len(plain), 2_000):
+            part = plain[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between_id).tolist()
+            data = ids.tobytes()
+            yield from ((piece, data[4 * start : 4 * end]) for piece, start, end in zip(part, [0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)]))
+        for at in range(0, len(alone), 2_000):
+            part = alone[at : at + 2_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update(zip(part, (tuple(x.ids) for x in found)))
+            yield from ((piece, np.array(one.ids, np.uint32).tobytes()) for piece, one in zip(part, found))
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         waiting: list[list[str]] = []
@@ -101,9 +109,9 @@ class LibraryEncoder:
         yield from self._encode(waiting)
 
     def _encode(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
-        self._know(chain.from_iterable(waiting))
+        known = self.recent.know(chain.from_iterable(waiting))
         for pieces in waiting:
-            yield np.fromiter(chain.from_iterable(map(self.cache.__getitem__, pieces)), np.uint32)
+            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
 
 
 @lru_cache(maxsize=4)
