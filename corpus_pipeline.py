@@ -3,27 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowferry.llm import decontamination, exact_dedup
+from rowferry.llm import bpe, decontamination, exact_dedup, ngram_join, quality
 from rowferry.plans.session import scratch_path
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that score less than its threshold go."""
+    return quality.accepted(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest doc_id stays."""
     return exact_dedup.without_copies(spark, docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays."""
+    return ngram_join.one_of_each(spark, docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a window of a benchmark item go."""
     return decontamination.without_benchmark(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE: the token ids of each document, and a digest of the text they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    back = bpe.decode(spark, bpe.encode(spark, docs, path), path)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 STAGES = [
+    ("quality_classifier", keep_good),
     ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
     ("benchmark_decontamination", drop_contaminated),
+    ("bpe", tokenize),
 ]
 
-#: The classifier, the joins and the encoder have no SQL form.
+#: The classifier, the join's components and the encoder have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

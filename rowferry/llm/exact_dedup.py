@@ -84,11 +84,19 @@ def decide(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Colu
 
 
 def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns, one of each document."""
+    """The rows of docs that stay, with all their columns, one of each group of equal texts.
+
+    Of rows that repeat doc_id and text, any one stays.
+    """
     digest = sha256(F.coalesce(docs["text"], F.lit("")))
-    kept = decide(spark, docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    kept = decide(spark, docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count("*").alias("_rows"))
+    kept, _ = stored(spark, kept, "kept-rows")
     stays = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest"))
-    return docs.join(kept.distinct(), stays, "left_semi")
+    once = docs.join(kept.where("_rows = 1"), stays, "left_semi")
+    repeated = kept.where("_rows > 1")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(docs.join(repeated, stays, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
