@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.functions.sqltypes import quote_identifier
 from rowferry.operators.numbering import ROWS_PER_RANGE, number_rows
 
-# Lines of one text that a task puts together; a longer text comes in several parts.
-LINES_PER_PART = 10_000
-
 
 def group_options(
     df: DataFrame,
@@ -37,26 +34,17 @@ def group_options(
     return numbered.join(firsts, "group").select("group", "group_order", "place", "value", "label")
 
 
-def concat_lines(
-    df: DataFrame,
-    key: list[str],
-    order: str,
-    text: str,
-    separator: str = "",
-    lines_per_part: int = LINES_PER_PART,
-) -> DataFrame:
-    """The lines of each key as one text, in order, from line number 1.
+def concat_lines(df: DataFrame, key: list[str], order: str, text: str, separator: str = "") -> DataFrame:
+    """The lines of each key as one text, in order; a null line counts as empty.
 
-    A text of more than ``lines_per_part`` lines comes as parts 0, 1, 2 ...,
-    which follow one another without a gap, so that no task holds more than a
-    part. ``order`` numbers the lines of a key without repeats.
+    ``order`` numbers the lines of a key, from any number on. A text is one
+    value of one row, so it is bounded by what Spark lets a value hold (2 GB).
     """
-    part = F.floor((F.col(order) - 1) / F.lit(lines_per_part)).alias("part")
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.coalesce(text, F.lit("")).alias("t"))))
     return (
-        df.groupBy(*key, part)
+        df.groupBy(*key)
         .agg(lines.alias("lines"))
-        .select(*key, "part", F.array_join(F.transform("lines", lambda line: line.t), separator).alias("text"))
+        .select(*key, F.array_join(F.transform("lines", lambda line: line.t), separator).alias("text"))
     )
 
 
@@ -84,31 +72,18 @@ def create_table_ddl(
     column_name: Column,
     column_type: Column,
     vendor: Column | str,
-    columns_per_part: int = LINES_PER_PART,
 ) -> DataFrame:
-    """``CREATE TABLE`` texts from a table of columns, one text a key.
-
-    As with ``concat_lines``, a table of more than ``columns_per_part`` columns
-    comes in parts that follow one another without a gap.
-    """
+    """``CREATE TABLE`` statements from a table of columns, one a key."""
     prepared = columns.select(
         *key,
         F.col(order).alias("__order"),
         quote_identifier(vendor, table).alias("__table"),
         F.concat(quote_identifier(vendor, column_name), F.lit(" "), column_type).alias("__column"),
     )
-    part = F.floor((F.col("__order") - 1) / F.lit(columns_per_part)).alias("part")
     entries = F.array_sort(F.collect_list(F.struct(F.col("__order").alias("n"), F.col("__column").alias("t"))))
-    parts = prepared.groupBy(*key, part).agg(F.min("__table").alias("__table"), entries.alias("entries"))
-    last = F.max("part").over(Window.partitionBy(*key))
-    first = F.min("part").over(Window.partitionBy(*key))
-    return parts.withColumns({"__first": first, "__last": last}).select(
-        *key,
-        "part",
-        F.concat(
-            F.when(F.col("part") == F.col("__first"), F.concat(F.lit("CREATE TABLE "), F.col("__table"), F.lit(" (")))
-            .otherwise(F.lit(",")),
-            F.array_join(F.transform("entries", lambda entry: entry.t), ","),
-            F.when(F.col("part") == F.col("__last"), F.lit(")")).otherwise(F.lit("")),
-        ).alias("text"),
+    listed = F.array_join(F.transform("entries", lambda entry: entry.t), ",")
+    return (
+        prepared.groupBy(*key)
+        .agg(F.min("__table").alias("__table"), entries.alias("entries"))
+        .select(*key, F.concat(F.lit("CREATE TABLE "), F.col("__table"), F.lit(" ("), listed, F.lit(")")).alias("text"))
     )

@@ -27,6 +27,12 @@ MAX_RANGES = 10_000
 _SAMPLES_PER_RANGE = 20
 _RANGE, _KEY = "__range", "__key"
 
+# Without these, times are written to the millisecond.
+_EXACT = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def _columns(names: list[str]) -> list[Column]:
     return [F.col(quoted_name(name)) for name in names]
@@ -40,9 +46,9 @@ def _struct(names: list[str]) -> Column:
 class Ranges:
     """Cuts of an order: range 0 lies before the first cut, range i starts at the i-th.
 
-    The cuts are JSON texts, so that a plan carries them as one constant. Any
-    value does as a cut, so that what JSON does to a key's last digits is of no
-    matter.
+    The cuts are JSON texts, so that a plan carries them as one constant. They
+    rise as the values that are read back from the texts: bisection, bounds and
+    groups all compare with those, to the microsecond.
     """
 
     schema: T.StructType
@@ -54,7 +60,7 @@ class Ranges:
 
     def constant(self) -> Column:
         """All cuts as a list of key structs; Spark folds it before the query runs."""
-        return F.from_json(F.lit(f"[{','.join(self.cuts)}]"), T.ArrayType(self.schema))
+        return F.from_json(F.lit(f"[{','.join(self.cuts)}]"), T.ArrayType(self.schema), _EXACT)
 
     def cut(self, number: Column | int) -> Column:
         """The key at the start of a range, null for range 0."""
@@ -80,6 +86,10 @@ class Ranges:
             df = df.withColumn(_RANGE, F.when(reached, place + step).otherwise(place))
         return df.drop(_KEY)
 
+    def between(self, df: DataFrame, first: int, last: int) -> DataFrame:
+        """The rows of the ranges from first to last."""
+        return self.place(df).where(F.col(_RANGE).between(first, last)).drop(_RANGE)
+
 
 def find_ranges(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE) -> Ranges:
     """Cut an order into ranges of about equal size, by a sample of its keys."""
@@ -91,7 +101,9 @@ def find_ranges(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_R
     fraction = min(1.0, wanted * _SAMPLES_PER_RANGE / rows)
     # The sample's size is bounded by the number of ranges, and Spark's own order sorts it.
     sampled = df.select(_struct(keys).alias("key")).sample(fraction=fraction, seed=7)
-    found = [row[0] for row in sampled.distinct().orderBy("key").select(F.to_json("key")).collect()]
+    texts = sampled.select(F.to_json("key", _EXACT).alias("text")).distinct()
+    read_back = texts.select("text", F.from_json("text", schema, _EXACT).alias("key"))
+    found = [row.text for row in read_back.groupBy("key").agg(F.min("text").alias("text")).orderBy("key").collect()]
     picked = sorted({len(found) * i // wanted for i in range(1, wanted)})
     return Ranges(schema, [found[i] for i in picked if i < len(found)])
 

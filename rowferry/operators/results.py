@@ -21,8 +21,8 @@ CELL_PADDING = 12.0
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
-# Up to here a page is cut from a plain top-k; beyond, only its range of the order is sorted.
-_SHALLOW_ROWS = 10_000
+# Rows that one top-k may hold.
+TOP_ROWS = 5_000
 
 
 # ---------------------------------------------------------------- bounded results
@@ -93,26 +93,31 @@ def page_count(rows: Column, size: int = PAGE_SIZE) -> Column:
 def page(df: DataFrame, order_by: list[str], number: int, size: int = PAGE_SIZE) -> DataFrame:
     """One page, counted from 0, of a table in an order whose columns are unique together.
 
-    An early page is a top-k. For a late one, the order is cut into ranges, and
-    only the ranges that the page touches are read and sorted.
+    An early page is a top-k. For a late one the order is cut into ranges and
+    only those that the page touches are read on, cut again while they are
+    large; the rows are the same either way.
     """
+    return _stretch(df, order_by, number * size, size)
+
+
+def _stretch(df: DataFrame, order_by: list[str], start: int, size: int) -> DataFrame:
+    """The rows from place ``start`` on, at most ``size`` of them."""
     columns = [F.col(quoted_name(name)) for name in order_by]
-    start = number * size
-    if start + size <= _SHALLOW_ROWS:
+    ranges = find_ranges(df, order_by, rows_per_range=TOP_ROWS) if start + size > TOP_ROWS else None
+    if ranges is None or not ranges.cuts:
         return df.orderBy(*columns).offset(start).limit(size)
-    ranges = find_ranges(df, order_by, rows_per_range=_SHALLOW_ROWS)
     before = rows_before(df, ranges)
     first = max(i for i, rows in enumerate(before) if rows <= start)
     last = max(i for i, rows in enumerate(before) if rows < start + size)
-    # The bounds on the leading column alone reach the scan. Nulls sort first.
+    # The rows of the counted ranges. Bounds on the leading column alone reach the scan; nulls sort first.
     near, leading = df, columns[0]
     if first > 0:
-        lower = ranges.cut(first)
-        near = near.where((ranges.key() >= lower) & (lower[order_by[0]].isNull() | (leading >= lower[order_by[0]])))
+        lower = ranges.cut(first)[order_by[0]]
+        near = near.where(lower.isNull() | (leading >= lower))
     if last < ranges.last:
-        upper = ranges.cut(last + 1)
-        near = near.where((ranges.key() < upper) & (leading.isNull() | (leading <= upper[order_by[0]])))
-    return near.orderBy(*columns).offset(start - before[first]).limit(size)
+        upper = ranges.cut(last + 1)[order_by[0]]
+        near = near.where(leading.isNull() | (leading <= upper))
+    return _stretch(ranges.between(near, first, last), order_by, start - before[first], size)
 
 
 def page_index(
@@ -176,37 +181,35 @@ def display_profile(df: DataFrame) -> DataFrame:
     return longest.select(F.inline(rows))
 
 
-def column_widths(
-    lengths: list[int], available: float, char_width: float = CHAR_WIDTH, padding: float = CELL_PADDING
-) -> list[int]:
-    """Share a table's width among its columns, given each one's longest text.
+def with_widths(
+    profile: DataFrame, available: float, char_width: float = CHAR_WIDTH, padding: float = CELL_PADDING
+) -> DataFrame:
+    """A display profile with the whole width that each column gets of the available one.
+
+    With the columns by rising need, those up to the first that needs more than
+    an even share of what is left get what they need. The others divide the
+    rest evenly, the later ones taking the units that do not divide. If all get
+    what they need, each is widened alike, by a fifth of their sum at most.
 
-    Columns that need no more than an even share get what they need, the rest
-    share what is left; spare width then adds at most a fifth.
+    The windows are over the profile, which has one row a column of the table.
     """
-    widths: dict[int, float] = {}
-    waiting = dict(enumerate(lengths))
-    left = available
-    while waiting:
-        share = left // len(waiting)
-        narrow = next((i for i, length in waiting.items() if length * char_width + padding <= share), None)
-        if narrow is None:
-            for i in list(waiting):
-                widths[i] = left // len(waiting)
-                left -= widths[i]
-                del waiting[i]
-        else:
-            widths[narrow] = waiting.pop(narrow) * char_width + padding
-            left -= widths[narrow]
-    if widths and left > len(widths):
-        extra = min(left / len(widths), sum(widths.values()) * 0.2 / len(widths)) // 1
-        widths = {i: width + extra for i, width in widths.items()}
-    return [int(widths[i] // 1) for i in range(len(lengths))]
-
-
-def with_widths(profile: DataFrame, available: float) -> DataFrame:
-    """A display profile with the width that each column gets; one row a column, so it is small."""
-    rows = profile.orderBy("position").collect()
-    widths = column_widths([row.max_length for row in rows], available)
-    wide = F.array(*[F.lit(width) for width in widths])
-    return profile.withColumn("width", F.get(wide, F.col("position")))
+    need = F.col("max_length") * F.lit(char_width) + F.lit(padding)
+    all_rows = Window.partitionBy(F.lit(0))
+    rising = all_rows.orderBy("need", "position")
+    earlier = F.coalesce(F.sum("need").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    waiting = F.count("*").over(all_rows) - F.row_number().over(rising) + 1
+    sized = profile.withColumn("need", need).withColumn("alone", F.col("need") <= F.floor((F.lit(available) - earlier) / waiting))
+    sized = sized.withColumn("fits", F.bool_and("alone").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.lit(available) - F.coalesce(F.sum(F.when(F.col("fits"), F.col("need"))).over(all_rows), F.lit(0.0))
+    sized = sized.select(
+        "*", left.alias("left"), F.count("*").over(all_rows).alias("n"), F.count_if(~F.col("fits")).over(all_rows).alias("shared_by"),
+        F.row_number().over(Window.partitionBy("fits").orderBy("position")).alias("turn"),
+    )
+    units = F.floor("left")
+    even = F.floor(units / F.col("shared_by")) + (F.col("turn") > F.col("shared_by") - F.pmod(units, F.col("shared_by"))).cast("int")
+    spare = F.when(
+        (F.col("shared_by") == 0) & (F.col("left") > F.col("n")),
+        F.floor(F.least("left", (F.lit(available) - F.col("left")) * 0.2) / F.col("n")),
+    ).otherwise(0)
+    width = F.when(F.col("fits"), F.floor(F.col("need") + spare)).otherwise(even)
+    return sized.select(*profile.columns, width.cast("int").alias("width"))

@@ -199,6 +199,7 @@ ORACLES: dict[str, str] = {
         FROM events WHERE event_type = 'click'""",
     "page_rows": """(SELECT * FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 45)
         UNION ALL (SELECT * FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 13500)""",
+    "page_of_events": "SELECT ts, event_id, event_type FROM events ORDER BY ts, event_id LIMIT 20 OFFSET 9000",
     "page_index": """SELECT o_orderdate, o_orderkey, o_totalprice, (n - 1) // 15 AS page, (n - 1) % 15 + 1 AS place
         FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""",
     "header_sample": f"""SELECT row_number() OVER (ORDER BY k) AS place, * EXCLUDE (k) FROM (
@@ -209,10 +210,25 @@ ORACLES: dict[str, str] = {
         f"greatest(2, max({length}), {len(name)}) AS max_length FROM lineitem"
         for i, (name, length) in enumerate(_LENGTHS.items())
     ),
+    "column_widths": f"""WITH d AS ({_LABELLED}),
+        p AS ({" UNION ALL ".join(
+            f"SELECT {i} AS position, '{name}' AS column_name, greatest(2, {len(name)}, max(coalesce(length(CAST({name} AS VARCHAR)), 4))) AS max_length FROM d"
+            for i, name in enumerate(("doc_id", "lang", "source", "n_chars", "quality", "toxic"))
+        )}),
+        a AS (SELECT *, max_length * 6.5 + 12 AS need FROM p),
+        b AS (SELECT *, need <= floor((600 - coalesce(sum(need) OVER (ORDER BY need, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (count(*) OVER () - row_number() OVER (ORDER BY need, position) + 1)) AS alone FROM a),
+        c AS (SELECT *, bool_and(alone) OVER (ORDER BY need, position) AS fits FROM b),
+        t AS (SELECT 600 - coalesce(sum(need) FILTER (WHERE fits), 0) AS rest, count(*) AS n, count(*) FILTER (WHERE NOT fits) AS k FROM c),
+        w AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY position) AS turn FROM c, t)
+        SELECT position, column_name, max_length, CAST(CASE
+            WHEN fits THEN floor(need + CASE WHEN k = 0 AND rest > n THEN floor(least(rest, (600 - rest) * 0.2) / n) ELSE 0 END)
+            ELSE floor(floor(rest) / k) + CASE WHEN turn > k - floor(rest) % k THEN 1 ELSE 0 END END AS INTEGER) AS width FROM w""",
     "group_options": """SELECT "group", min(doc_id) OVER (PARTITION BY "group") AS group_order,
         row_number() OVER (PARTITION BY "group" ORDER BY doc_id) AS place, doc_id AS value, source AS label
         FROM (SELECT *, CASE WHEN lang = 'en' OR lang IS NULL THEN '' ELSE lang END AS "group" FROM documents)""",
-    "concat_lines": "SELECT doc_id, 0 AS part, replace(text, chr(10), '') AS text FROM documents",
+    "concat_lines": "SELECT doc_id, replace(text, chr(10), '') AS text FROM documents",
+    "definition_text": "SELECT doc_id, CASE WHEN text <> '' THEN text ELSE source END AS text FROM documents",
     # values
     "to_text": f"SELECT {_ORDER_TEXTS} FROM orders",
     "render_cells": f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, 'null') AS lang, coalesce(source, 'null') AS source,
@@ -253,7 +269,7 @@ ORACLES: dict[str, str] = {
         default_value, CASE WHEN table_type = 'BASE TABLE' AND (ordinal = 1 OR ordinal = 2 AND length(table_name) < 10)
             THEN 'YES' ELSE 'NO' END AS is_primary_key FROM columns""",
     "create_table_ddl": f"""{_COLUMNS}, {_CANONICAL_STEPS}, {_MATRIX}
-        SELECT table_schema, table_name, 0 AS part, 'CREATE TABLE `' || table_name || '` (' || string_agg(
+        SELECT table_schema, table_name, 'CREATE TABLE `' || table_name || '` (' || string_agg(
             '`' || replace(column_name, '`', '``') || '` ' || mysql, ',' ORDER BY ordinal) || ')' AS text
         FROM typed JOIN matrix ON c = canonical GROUP BY table_schema, table_name""",
 }

@@ -312,6 +312,13 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early.unionByName(late)
 
 
+@query
+def page_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A late page in an order that begins with a time."""
+    events = load(spark, sf_dir, "events").select("ts", "event_id", "event_type")
+    return results.page(events, ["ts", "event_id"], 450, 20)
+
+
 @query
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")
@@ -344,6 +351,12 @@ def concat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.concat_lines(derived.document_lines(spark, sf_dir), ["doc_id"], "line_no", "line")
 
 
+@query
+def definition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replies = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.col("text").alias("Create Text"))
+    return grouping.definition_text(replies, ["doc_id"], "doc_id", ["name", "Create Text"])
+
+
 # ---------------------------------------------------------------- values
 
 

@@ -34,9 +34,8 @@ def test_query(spark, duck, name):
         assert (columns, rows) == sorted_rows(expected.columns, expected.fetchall())
 
 
-def test_only_widths_have_no_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"column_widths"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_all_have_oracles():
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_all_are_registered():

@@ -142,15 +142,61 @@ def test_display_profile(spark):
     assert empty == {"i": 2, "s": 2, "long_name": 9, "u": 2, "f": 2}
 
 
-def test_widths_by_hand():
+def widths(spark, lengths, available):
+    profile = spark.createDataFrame(list(enumerate(lengths)), "position int, max_length int")
+    return [r.width for r in results.with_widths(profile, available).orderBy("position").collect()]
+
+
+def test_widths_by_hand(spark):
     # All fit: 2 * 6.5 + 12 = 25 and 10 * 6.5 + 12 = 77, plus a fifth of 102 shared by two.
-    assert results.column_widths([2, 10], 1000) == [35, 87]
+    assert widths(spark, [2, 10], 1000) == [35, 87]
     # The narrow one gets 25, the wide ones share 275; what a column takes is whole.
-    assert results.column_widths([2, 100, 100], 300) == [25, 137, 138]
-    assert results.column_widths([100, 100], 300) == [150, 150]
+    assert widths(spark, [2, 100, 100], 300) == [25, 137, 138]
+    assert widths(spark, [100, 100], 300) == [150, 150]
     # Spare width below a fifth: 25 + 25 of 55 leaves 5, two each.
-    assert results.column_widths([2, 2], 55) == [27, 27]
-    assert results.column_widths([], 100) == []
+    assert widths(spark, [2, 2], 55) == [27, 27]
+    assert widths(spark, [], 100) == []
+    # Three wide ones share the 417.5 that 25 and 57.5 leave of 500.
+    assert widths(spark, [90, 7, 80, 2, 85], 500) == [139, 57, 139, 25, 139]
+    assert widths(spark, [90, 80, 85], 500) == [166, 167, 167]
+
+
+def sub_millisecond(spark, rows=3_000):
+    """Three moments a microsecond apart, each with many rows."""
+    moment = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") % 3)
+    return spark.range(rows).select(moment.alias("ts"), (F.col("id") * 7919 % rows).alias("x"), "id").repartition(5)
+
+
+def test_late_pages_below_a_millisecond(spark, monkeypatch):
+    monkeypatch.setattr(results, "TOP_ROWS", 300)
+    df = sub_millisecond(spark)
+    order = [r.id for r in sorted(df.collect(), key=lambda r: (r.ts, r.x))]
+    for number in (0, 19, 20, 67, 133, 199, 200):
+        assert [r.id for r in results.page(df, ["ts", "x"], number).collect()] == order[number * 15 : number * 15 + 15]
+
+
+def test_groups_below_a_millisecond(spark):
+    df = sub_millisecond(spark)
+    numbered = numbering.number_rows(df, ["x"], ["ts"], rows_per_range=100).collect()
+    seen = {}
+    for row in sorted(numbered, key=lambda r: (r.ts, r.x)):
+        seen[row.ts] = seen.get(row.ts, 0) + 1
+        assert row.row_number == seen[row.ts]
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "decimal(20,6)", "binary", "date", "timestamp_ntz", "string"])
+def test_keys_of_other_types(spark, monkeypatch, kind):
+    monkeypatch.setattr(results, "TOP_ROWS", 100)
+    number = F.col("id") * 7919 % 1_000
+    made = {
+        "binary": F.lpad(number.cast("string"), 4, "0").cast("binary"),
+        "string": F.concat(F.lit("\u00e9\""), F.lpad(number.cast("string"), 4, "0")),
+        "date": F.date_add(F.lit("2000-01-01").cast("date"), number.cast("int")),
+        "timestamp_ntz": F.timestamp_micros(number + 1_700_000_000_000_000).cast("timestamp_ntz"),
+    }
+    df = spark.range(1_000).select(made.get(kind, number / 1_000).cast(kind).alias("k"), number.alias("n"))
+    for page in (3, 30, 66):
+        assert [r.n for r in results.page(df, ["k"], page).collect()] == list(range(page * 15, min(1_000, page * 15 + 15)))
 
 
 def test_group_options(spark, skewed):
@@ -166,14 +212,11 @@ def test_group_options(spark, skewed):
         assert option.group_order == group[0].o
 
 
-def test_concatenated_parts(spark):
-    lines = spark.range(1, 1_001).select((F.col("id") % 2).alias("k"), ((F.col("id") + 1) / 2).cast("int").alias("n"),
-                                         F.concat("id", F.lit(";")).alias("t")).repartition(7)
-    parts = grouping.concat_lines(lines, ["k"], "n", "t", lines_per_part=64).collect()
-    for key in (0, 1):
-        own = sorted((p.part, p.text) for p in parts if p.k == key)
-        assert [number for number, _ in own] == list(range(8))
-        assert "".join(text for _, text in own) == "".join(f"{i};" for i in range(2 - key, 1_001, 2))
+def test_concatenated_lines(spark):
+    first = -3
+    lines = spark.range(20_002).select((F.col("id") % 2).alias("k"), (F.floor(F.col("id") / 2) + first).alias("n"), F.concat("id", F.lit(";")).alias("t"))
+    texts = {r.k: r.text for r in grouping.concat_lines(lines.repartition(7), ["k"], "n", "t").collect()}
+    assert texts == {k: "".join(f"{i};" for i in range(k, 20_002, 2)) for k in (0, 1)}
 
 
 def test_definition_texts(spark):
@@ -185,15 +228,7 @@ def test_definition_texts(spark):
     assert {r.o: r.text for r in joined} == {"p": "ab", "q": "z"}
 
 
-def test_create_table_parts(spark):
-    columns = spark.range(1, 26).select(F.lit("t").alias("tab"), F.col("id").alias("n"), F.concat(F.lit("c"), "id").alias("name"))
-
-    def ddl(per_part):
-        parts = grouping.create_table_ddl(
-            columns, ["tab"], "n", F.col("tab"), F.col("name"), F.lit("INT"), "mysql", columns_per_part=per_part
-        )
-        return [p.text for p in parts.orderBy("part").collect()]
-
-    whole = "CREATE TABLE `t` (" + ",".join(f"`c{i}` INT" for i in range(1, 26)) + ")"
-    assert ddl(100) == [whole]
-    assert len(ddl(10)) == 3 and "".join(ddl(10)) == whole
+def test_create_table(spark):
+    columns = spark.range(25).select(F.lit("t").alias("tab"), F.col("id").alias("n"), F.concat(F.lit("c"), "id").alias("name"))
+    made = grouping.create_table_ddl(columns.repartition(5), ["tab"], "n", F.col("tab"), F.col("name"), F.lit("INT"), "mysql")
+    assert [r.text for r in made.collect()] == ["CREATE TABLE `t` (" + ",".join(f"`c{i}` INT" for i in range(25)) + ")"]
