@@ -86,7 +86,7 @@ def copy(spark: SparkSession, origin: Endpoint, destination: Endpoint) -> DataFr
     rows = rows.observe(reads, F.count(F.lit(1)).alias("n"))
     if destination.type == "table" and not destination.new_table and destination.jdbc is None:
         target = spark.table(destination.qualified_table()).schema
-        rows = tables.fit_to_table(rows, target)
+        rows = tables.fit_to_table(rows, target, empty_as_null=not has_types(origin))
     rows = rows.observe(writes, F.count(F.lit(1)).alias("n"))
     _write(rows, destination)
     return report(spark, reads.get["n"], writes.get["n"])

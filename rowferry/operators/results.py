@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from rowferry.functions.statements import clean_statement, statement_command, statement_type
 from rowferry.functions.texts import cell_text, field_column, json_value, quoted_name, shown_length
 from rowferry.operators.numbering import ROWS_PER_RANGE, find_ranges, number_rows, rows_before
+from rowferry.sources import tables
 
 # The default cap of a result, the rows of a page, the sample's rows and the widths' measures.
 DEFAULT_CAP = 500
@@ -30,11 +33,13 @@ TOP_ROWS = 5_000
 
 @dataclass(frozen=True)
 class BoundedResult:
-    """At most ``cap`` rows of a result; nothing runs before one of its tables is used.
+    """At most ``cap`` rows of a result.
 
     ``flagged`` holds the rows with a column ``truncated``; ``envelope`` is one
     row with the columns' names and types, the number of rows returned, the
-    flag, and the kind of statement that gave them.
+    flag, the rows a statement wrote (null for a query or where Spark does not
+    count them), and the kind of statement. A query runs when one of these
+    tables is used; a statement that writes has run by then, once.
     """
 
     rows: DataFrame
@@ -42,6 +47,7 @@ class BoundedResult:
     cap: int
     statement: str = ""
     vendor: str = ""
+    rows_affected: int | None = None
 
     def envelope(self) -> DataFrame:
         cleaned = clean_statement(F.lit(self.statement))
@@ -55,6 +61,7 @@ class BoundedResult:
             F.array(*[F.lit(f.dataType.simpleString()) for f in fields]).alias("column_types"),
             "rows_returned",
             "truncated",
+            F.lit(self.rows_affected).cast("long").alias("rows_affected"),
             statement_command(cleaned).alias("stmt_cmd"),
             statement_type(cleaned, self.vendor).alias("stmt_type"),
         )
@@ -75,12 +82,29 @@ def bounded(df: DataFrame, cap: int = DEFAULT_CAP, statement: str = "", vendor:
         .where(F.col("__place") < cap)
         .drop("__place")
     )
-    return BoundedResult(df.limit(cap), flagged, cap, statement, vendor)
-
-
-def run_sql(spark: SparkSession, sql: str, cap: int = DEFAULT_CAP) -> BoundedResult:
-    """Run SQL over the registered tables and bound its result."""
-    return bounded(spark.sql(sql), cap, sql)
+    return BoundedResult(flagged.drop("truncated"), flagged, cap, statement, vendor)
+
+
+def run_sql(
+    spark: SparkSession,
+    sql: str,
+    cap: int = DEFAULT_CAP,
+    args: Mapping[str, Any] | None = None,
+    schema: str | None = None,
+    vendor: str = "",
+) -> BoundedResult:
+    """Run SQL over the registered tables, of ``schema`` where they name none, and bound its result."""
+    df = tables.read_query(spark, sql, args, schema)
+    return replace(bounded(df, cap, sql, vendor), rows_affected=rows_written(df))
+
+
+def rows_written(df: DataFrame) -> int | None:
+    """The rows that the statement behind a result wrote; None for a query."""
+    ran = df._jdf.queryExecution().commandExecuted()
+    if ran.getClass().getSimpleName() != "CommandResult":
+        return None
+    written = ran.commandPhysicalPlan().metrics().get("numOutputRows")
+    return written.get().value() if written.isDefined() else None
 
 
 # ---------------------------------------------------------------- paging

@@ -195,7 +195,7 @@ ORACLES: dict[str, str] = {
     "bounded_result": """SELECT *, (SELECT count(*) FROM orders) > 500 AS truncated FROM (
         SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500)""",
     "result_envelope": """SELECT 'event_id,user_id,value' AS cols, 'bigint,bigint,double' AS column_types,
-        least(count(*), 300) AS rows_returned, count(*) > 300 AS truncated, 'select' AS stmt_cmd, 'query' AS stmt_type
+        least(count(*), 300) AS rows_returned, count(*) > 300 AS truncated, CAST(NULL AS BIGINT) AS rows_affected, 'select' AS stmt_cmd, 'query' AS stmt_type
         FROM events WHERE event_type = 'click'""",
     "page_rows": """(SELECT * FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 45)
         UNION ALL (SELECT * FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 13500)""",

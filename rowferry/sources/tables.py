@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +53,14 @@ def read_query(
 
 
 def read_database_query(spark: SparkSession, endpoint: Endpoint) -> DataFrame:
-    """The result of a query that the database runs, in the schema that the endpoint names."""
-    reader = _jdbc(spark, endpoint).option("query", endpoint.query)
+    """The result of a query that the database runs, in the schema that the endpoint names.
+
+    It is read in parallel if the JDBC options name a partition column with its
+    bounds. The database gets the query as it is, so it takes no arguments.
+    """
+    if endpoint.args:
+        raise ValueError("a query that a database runs takes no arguments")
+    reader = _jdbc(spark, endpoint).option("dbtable", f"({endpoint.query}) q")
     statement = schema_statement(endpoint.vendor, endpoint.schema) if endpoint.schema else ""
     return (reader.option("sessionInitStatement", statement) if statement else reader).load()
 
@@ -96,20 +102,25 @@ def insert_positional(df: DataFrame, target: T.StructType) -> DataFrame:
     return named.select(*[F.col(quoted_name(f.name)).cast(f.dataType).alias(f.name) for f in target])
 
 
-def fit_to_table(df: DataFrame, target: T.StructType) -> DataFrame:
-    """The columns by name in the target's order and types; those the source lacks are null."""
+def fit_to_table(df: DataFrame, target: T.StructType, empty_as_null: bool = False) -> DataFrame:
+    """The columns by name in the target's order and types; those the source lacks are null.
+
+    With ``empty_as_null``, for files without types, an empty text is null where the target is no text.
+    """
     unknown = [n for n in df.columns if n.lower() not in {t.lower() for t in target.fieldNames()}]
     if unknown:
         raise ValueError(f"the target has no column {', '.join(unknown)}")
-    own = {name.lower(): name for name in df.columns}
-    return df.select(
-        *[
-            (F.col(quoted_name(own[f.name.lower()])) if f.name.lower() in own else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in target
-        ]
-    )
+    own = {field.name.lower(): field for field in df.schema}
+
+    def value(f: T.StructField) -> Column:
+        if f.name.lower() not in own:
+            return F.lit(None)
+        found = own[f.name.lower()]
+        column = F.col(quoted_name(found.name))
+        texts = isinstance(found.dataType, T.StringType) and not isinstance(f.dataType, T.StringType)
+        return F.nullif(column, F.lit("")) if empty_as_null and texts else column
+
+    return df.select(*[value(f).cast(f.dataType).alias(f.name) for f in target])
 
 
 # ---------------------------------------------------------------- writing
@@ -154,7 +165,12 @@ def append_staged(df: DataFrame, endpoint: Endpoint, expected_rows: int | None =
 
 
 def publish_statements(endpoint: Endpoint, schema: T.StructType, stage: str, create: bool) -> list[str]:
-    """What moves a staged table into its target, to run as one transaction."""
+    """What moves a staged table into its target.
+
+    A vendor whose transactions hold DDL runs them as one; MySQL and MariaDB
+    commit a CREATE TABLE by itself and ClickHouse each statement, so that
+    there a failed insert leaves an empty new table, which is dropped.
+    """
     target = _database_name(endpoint)
     columns = ",".join(quoted(endpoint.vendor, name) for name in schema.fieldNames())
     insert = f"INSERT INTO {target} ({columns}) SELECT {columns} FROM {stage}"
@@ -184,10 +200,20 @@ def _write_database(df: DataFrame, endpoint: Endpoint, create: bool) -> None:
     takes those commits, and the target sees a single one.
     """
     spark = df.sparkSession
-    stage = _database_name(replace(endpoint, table=f"{endpoint.table}_{uuid.uuid4().hex[:12]}"))
+    stage = _database_name(replace(endpoint, table=f"stage_{uuid.uuid4().hex}"))
     _run_in_database(spark, endpoint.jdbc, [create_table_statement(endpoint.vendor, stage, df.schema)])
+    written = Observation()
     try:
-        df.write.format("jdbc").options(**endpoint.jdbc).option("dbtable", stage).mode("append").save()
-        _run_in_database(spark, endpoint.jdbc, publish_statements(endpoint, df.schema, stage, create))
+        counted = df.observe(written, F.count(F.lit(1)).alias("n"))
+        counted.write.format("jdbc").options(**endpoint.jdbc).option("dbtable", stage).mode("append").save()
+        staged = _jdbc(spark, endpoint).option("dbtable", f"(SELECT count(*) AS n FROM {stage}) q").load().first()[0]
+        if int(staged) != written.get["n"]:  # a task that ran twice loads its rows twice
+            raise ValueError(f"{staged} rows staged, {written.get['n']} written")
+        try:
+            _run_in_database(spark, endpoint.jdbc, publish_statements(endpoint, df.schema, stage, create))
+        except Exception:
+            if create:
+                _run_in_database(spark, endpoint.jdbc, [f"DROP TABLE IF EXISTS {_database_name(endpoint)}"])
+            raise
     finally:
         _run_in_database(spark, endpoint.jdbc, [f"DROP TABLE {stage}"])

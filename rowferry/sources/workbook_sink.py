@@ -50,18 +50,20 @@ class WorkbookWriter(DataSourceArrowWriter):
     Attempts write into a hidden folder under names of their own; the commit
     moves those of the successful attempts into place, so that a retried or
     speculative attempt leaves nothing behind and a failed job shows nothing.
+    The moves are one a file: a driver that dies among them leaves some of the
+    workbooks in place, next to the hidden folder with the others.
     """
 
-    def __init__(self, path: str, schema: StructType, rows_per_workbook: int):
-        self.path = path
+    def __init__(self, path: str, schema: StructType, rows_per_workbook: int, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
         self.job = uuid.uuid4().hex
         self.header = schema.fieldNames()
         self.rows_per_workbook = min(rows_per_workbook, sheet_xml.MAX_SHEET_ROWS - 1)
 
     def _folder(self) -> tuple[pyarrow.fs.FileSystem, str]:
-        if "://" in self.path or self.path.startswith("file:"):
-            return pyarrow.fs.FileSystem.from_uri(self.path)
-        return pyarrow.fs.LocalFileSystem(), self.path
+        if "://" not in self.path:
+            raise ValueError(f"{self.path} names no file system; a task cannot know whose disk is meant")
+        return pyarrow.fs.FileSystem.from_uri(self.path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, folder = self._folder()
@@ -81,8 +83,13 @@ class WorkbookWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, folder = self._folder()
         names = [name for message in messages if message for name in message.names]
+        earlier = []
+        if self.overwrite:
+            listed = files.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
+            earlier = [info.path for info in listed if info.is_file and info.path.endswith(".xlsx")]
         with ThreadPoolExecutor(16) as pool:
             list(pool.map(lambda name: files.move(f"{folder}/_temporary-{self.job}/{name}", f"{folder}/{name}"), names))
+            list(pool.map(files.delete_file, earlier))
         self.abort(messages)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -101,4 +108,4 @@ class WorkbookSource(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         limit = int(self.options.get("rowsPerWorkbook", sheet_xml.MAX_SHEET_ROWS - 1))
-        return WorkbookWriter(self.options["path"].rstrip("/"), schema, limit)
+        return WorkbookWriter(self.options["path"].rstrip("/"), schema, limit, overwrite)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import itertools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -135,9 +136,18 @@ def write_workbooks(
     mode: str = "errorifexists",
     rows_per_workbook: int = sheet_xml.MAX_SHEET_ROWS - 1,
 ) -> None:
-    """A workbook per partition: numbers and flags as such, null as an empty cell, all else as text."""
+    """A workbook per partition: numbers and flags as such, null as an empty cell, all else as text.
+
+    ``mode`` is one of Spark's four. With "overwrite" the workbooks that were
+    there go once the new ones are written.
+    """
     spark = df.sparkSession
-    if mode == "errorifexists" and path_exists(spark, path):
+    if mode not in ("append", "overwrite", "ignore", "error", "errorifexists"):
+        raise ValueError(f"unknown mode {mode}")
+    path = qualified(spark, path)
+    if mode in ("error", "errorifexists", "ignore") and path_exists(spark, path):
+        if mode == "ignore":
+            return
         raise FileExistsError(path)
     spark.dataSource.register(WorkbookSource)
     native = (T.IntegralType, T.FractionalType, T.BooleanType)
@@ -152,7 +162,14 @@ def write_workbooks(
         ]
     )
     writer = cells.write.format("workbook").option("path", path).option("rowsPerWorkbook", rows_per_workbook)
-    writer.mode("append").save()
+    writer.mode("overwrite" if mode == "overwrite" else "append").save()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark resolves it by, so that every task means the same one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

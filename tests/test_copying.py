@@ -209,3 +209,59 @@ def test_publish_statements_of_a_database(spark, people):
 def test_scratch_lies_in_the_shared_folder(spark):
     assert session.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert Path(session.scratch_path(spark, "x")).name.startswith("x-")
+
+
+def test_csv_with_nulls_into_a_table(spark, tmp_path):
+    name = new_name()
+    spark.sql(f"CREATE TABLE {name} (a INT, b DOUBLE, t STRING) USING parquet")
+    df = spark.createDataFrame([(1, None, "x"), (None, 2.5, None)], "a int, b double, t string")
+    file = Endpoint("file", format="csv", path=str(tmp_path / "in"))
+    write_endpoint(df, file)
+    report = copy(spark, file, Endpoint("table", table=name)).first()
+    assert (report.reads, report.writes) == (2, 2)
+    assert rows(spark.table(name)) == rows(spark.createDataFrame([(1, None, "x"), (None, 2.5, "")], df.schema))
+
+
+def test_csv_with_a_schema_into_a_new_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (None, "y,\n")], "a int, t string")
+    write_endpoint(df, Endpoint("file", format="csv", path=str(tmp_path / "in")))
+    target = Endpoint("table", table=new_name(), new_table=True)
+    typed = Endpoint("file", format="csv", path=str(tmp_path / "in"), options={"schema": df.schema, "empty_as": "null"})
+    copy(spark, typed, target)
+    assert spark.table(target.table).schema == df.schema
+    assert rows(spark.table(target.table)) == rows(df)
+
+
+def test_one_column_of_empty_fields(spark, tmp_path):
+    df = spark.createDataFrame([("a",), (None,), ("",), ("b",)], "t string")
+    out = Endpoint("file", format="csv", path=str(tmp_path / "one"))
+    write_endpoint(df, out)
+    assert rows(read_endpoint(spark, out)) == [("",), ("",), ("a",), ("b",)]
+
+
+def test_workbook_modes(spark, tmp_path, people):
+    def write(mode, least=0):
+        options = {"mode": mode}
+        write_endpoint(spark.table(people).where(f"id > {least}"), Endpoint("file", format="xlsx", path=str(tmp_path / "w"), options=options))
+
+    def count():
+        return read_endpoint(spark, Endpoint("file", format="xlsx", path=str(tmp_path / "w"))).count()
+
+    write("overwrite")
+    assert count() == 3
+    write("overwrite", least=1)
+    assert count() == 2
+    write("ignore")
+    assert count() == 2
+    write("append", least=2)
+    assert count() == 3
+    with pytest.raises(FileExistsError):
+        write("errorifexists")
+    with pytest.raises(ValueError, match="unknown mode"):
+        write("replace")
+
+
+def test_database_queries_take_no_arguments(spark):
+    endpoint = Endpoint("query", query="SELECT 1", args={"a": 1}, jdbc={"url": "jdbc:none:x"})
+    with pytest.raises(ValueError, match="no arguments"):
+        read_endpoint(spark, endpoint)

@@ -142,6 +142,20 @@ def test_display_profile(spark):
     assert empty == {"i": 2, "s": 2, "long_name": 9, "u": 2, "f": 2}
 
 
+def test_statements_report_the_rows_they_write(spark):
+    spark.sql("CREATE TABLE written (a INT) USING parquet")
+    try:
+        done = results.run_sql(spark, "insert into written select cast(id as int) from range(7) where id > :least", args={"least": 2}, vendor="mysql")
+        row = done.envelope().first()
+        assert (row.rows_affected, row.rows_returned, row.stmt_cmd) == (4, 0, "insert")
+        assert spark.table("written").count() == 4  # it ran once
+        asked = results.run_sql(spark, "select a from written order by a", cap=3, schema="default")
+        assert [r.a for r in asked.rows.collect()] == [3, 4, 5]
+        assert asked.envelope().first().rows_affected is None
+    finally:
+        spark.sql("DROP TABLE written")
+
+
 def widths(spark, lengths, available):
     profile = spark.createDataFrame(list(enumerate(lengths)), "position int, max_length int")
     return [r.width for r in results.with_widths(profile, available).orderBy("position").collect()]
