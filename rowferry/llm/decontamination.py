@@ -138,7 +138,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     """The documents without any hit, with all their columns."""
     hit = hits(spark, docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     hit, _ = stored(spark, hit, "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_key"]), "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,12 +91,12 @@ def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     digest = sha256(F.coalesce(docs["text"], F.lit("")))
     kept = decide(spark, docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).agg(F.count("*").alias("_rows"))
     kept, _ = stored(spark, kept, "kept-rows")
-    stays = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest"))
-    once = docs.join(kept.where("_rows = 1"), stays, "left_semi")
-    repeated = kept.where("_rows > 1")
-    if repeated.isEmpty():
-        return once
-    return once.unionByName(docs.join(repeated, stays, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        return docs.join(rows, docs["doc_id"].eqNullSafe(rows["_kept_id"]) & (digest == rows["_kept_digest"]), "left_semi")
+
+    once, repeated = chosen(kept.where("_rows = 1")), kept.where("_rows > 1")
+    return once if repeated.isEmpty() else once.unionByName(chosen(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -368,7 +368,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the least of their component; all rows of a component without identifiers."""
     kept = join(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
     kept, _ = stored(spark, kept.distinct(), "kept-rows")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

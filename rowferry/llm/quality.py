@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm.folds import held_out, sampled_ids
+from rowferry.llm.scratch import free_name
 from rowferry.llm.words import SPACES, hash_words, powers
 from rowferry.plans.session import ship_package
 
@@ -194,8 +195,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Network |
     return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
-def score(spark: SparkSession, docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns of docs and ``score``; 1 everywhere without a model, so that nothing is rejected untaught."""
+def score(spark: SparkSession, docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The given columns of docs and the score under ``name``; 1 everywhere without a model, so that nothing is rejected untaught."""
     ship_package(spark)
     chosen = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text_to_score"))
 
@@ -205,21 +206,22 @@ def score(spark: SparkSession, docs: DataFrame, net: Network | None, columns: tu
             x = np.stack([measure((text or "").encode()) for text in texts]) if texts else np.empty((0, FEATURES))
             scores = np.ones(len(texts)) if net is None else net.scores(x)
             kept = batch.select(range(len(columns)))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], names=[*kept.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], names=[*kept.schema.names, name])
 
-    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]], "_score double"]
+    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]], f"`{name}` double"]
     return chosen.mapInArrow(run, ", ".join(fields))
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that score at least THRESHOLD."""
-    scored = score(spark, docs, train(spark, docs, labels), tuple(docs.columns))
-    return scored.where(F.col("_score") >= THRESHOLD).drop("_score")
+    name = free_name("score", docs.columns)
+    scored = score(spark, docs, train(spark, docs, labels), tuple(docs.columns), name)
+    return scored.where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("documents", "labels"))
     scored = score(spark, docs, train(spark, docs, labels))
     return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -41,3 +41,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(stem: str, taken: list[str]) -> str:
+    """A column name that none of the given ones equals, however it is written."""
+    lowered = {name.lower() for name in taken}
+    while stem.lower() in lowered:
+        stem += "_"
+    return stem
