@@ -228,8 +228,9 @@ def base_name(path: Column) -> Column:
 
 
 def duration_ms(nanoseconds: Column) -> Column:
-    """Nanoseconds as whole milliseconds, rounded up."""
-    return F.ceil(nanoseconds / F.lit(1_000_000))
+    """Nanoseconds as whole milliseconds, rounded up, in whole numbers throughout."""
+    missing = F.pmod(-nanoseconds, F.lit(1_000_000))
+    return F.call_function("div", nanoseconds + missing, F.lit(1_000_000))
 
 
 def duration_text(nanoseconds: Column, resolution_ms: int = 1) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowferry.functions.texts import quoted_name
+
 COLUMNS = T.StructType(
     [
         T.StructField("table_schema", T.StringType()),
@@ -97,7 +99,7 @@ def dict_from_spark(spark: SparkSession, database: str | None = None) -> DataFra
     """
     rows = []
     for table in spark.catalog.listTables(database):
-        name = ".".join(part for part in [*(table.namespace or []), table.name])
+        name = ".".join(quoted_name(part) for part in [*(table.namespace or []), table.name])
         kind = "VIEW" if table.tableType in ("VIEW", "TEMPORARY") else "BASE TABLE"
         schema = ".".join(table.namespace or [])
         for ordinal, column in enumerate(spark.catalog.listColumns(name), start=1):

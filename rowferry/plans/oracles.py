@@ -140,6 +140,7 @@ _GRANTED = f"""{_CATALOG} SELECT u.name AS user_name, s.name AS source, v.name A
 ORACLES: dict[str, str] = {
     # scans and copies
     "scan_table": "SELECT * FROM customer",
+    "scan_in_schema": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey",
     "scan_query": _REVENUE.format(least=50000),
     "scan_csv": "SELECT * FROM documents",
     "scan_json": "SELECT * FROM events",

@@ -55,13 +55,25 @@ def scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_endpoint(spark, Endpoint("query", query=REVENUE, args={"least": 50000.0}))
 
 
+@query
+def scan_in_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query whose tables are of the schema that the endpoint names."""
+    schema = f"scope_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {schema}")
+    try:
+        spark.sql(f"CREATE TABLE {schema}.accounts USING parquet LOCATION '{sf_dir}/customer.parquet'")
+        query = "SELECT c_nationkey, count(*) AS n FROM accounts GROUP BY c_nationkey"
+        return read_endpoint(spark, Endpoint("query", query=query, schema=schema))
+    finally:
+        spark.sql(f"DROP DATABASE {schema} CASCADE")  # the files are not the table's own and stay
+
+
 def _through_files(spark: SparkSession, sf_dir: str, table: str, file_format: str, typed: bool = False) -> DataFrame:
     """Copy a table to a fresh folder of files and read it back under its own types."""
     ship_package(spark)
     df = load(spark, sf_dir, table)
-    # A scan of few splits is small; spread over the cores it costs one bounded shuffle.
-    cores = spark.sparkContext.defaultParallelism
-    options = {"partitions": cores} if df.rdd.getNumPartitions() < cores else {}
+    # As many files as shuffles have partitions, whatever the scan's splits are.
+    options = {"partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))}
     derived.register_tables(spark, sf_dir, table)
     folder = scratch_path(spark, file_format)
     copy(spark, Endpoint("table", table=table), Endpoint("file", format=file_format, path=folder, options=options))

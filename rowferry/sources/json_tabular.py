@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -16,8 +17,9 @@ from rowferry.functions.sqltypes import canonical_of, spark_type_of
 from rowferry.functions.texts import json_list
 from rowferry.sources.json_files import first_file, from_text
 
-# A document is read by one task, so that a writer keeps it within these many rows.
+# A document is read by one task as one text, so that a writer keeps it within these many rows and bytes.
 ROWS_PER_DOCUMENT = 100_000
+BYTES_PER_DOCUMENT = 64 << 20
 
 _DOCUMENT = "fields array<string>, types array<string>, rows array<array<string>>"
 
@@ -78,27 +80,37 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(value) for value in values]).cast("array<string>")
 
 
-def _documents(head: str, rows_per_document: int):
-    """Wrap the row texts of a partition into documents, one line each for head, row and tail."""
+def _documents(head: str, rows_per_document: int, bytes_per_document: int):
+    """Wrap the row texts of a partition into documents, one line each for head, row and tail.
+
+    A document that is full of bytes before it is of rows gets blank lines, so
+    that all but the last have as many lines.
+    """
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lines(*values: str) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
 
-        filled, seen = None, False
+        filled, size, seen = None, 0, False
         for batch in batches:
             texts, start = batch.column(0), 0
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             while start < len(texts):
                 seen = True
+                before = int(ends[start - 1]) if start else 0
                 if filled is None:
                     yield lines(head)
                     yield pa.RecordBatch.from_arrays([texts.slice(start, 1)], ["value"])
-                    filled, start = 1, start + 1
-                part = texts.slice(start, rows_per_document - filled)
-                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise("", part, ",")], ["value"])
-                filled, start = filled + len(part), start + len(part)
-                if filled == rows_per_document:
-                    yield lines("]}")
+                    filled, size, start = 1, int(ends[start]) - before, start + 1
+                    continue
+                room = int(np.searchsorted(ends, before + bytes_per_document - size, "right")) - start
+                part = texts.slice(start, max(0, min(room, rows_per_document - filled)))
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise("", part, ",")], ["value"])
+                    filled, start = filled + len(part), start + len(part)
+                    size += int(ends[start - 1]) - before
+                if filled == rows_per_document or start < len(texts):
+                    yield lines(*[""] * (rows_per_document - filled), "]}")
                     filled = None
         if filled is not None:
             yield lines("]}")
@@ -110,9 +122,13 @@ def _documents(head: str, rows_per_document: int):
 
 
 def write_json_tabular(
-    df: DataFrame, path: str, mode: str = "errorifexists", rows_per_document: int = ROWS_PER_DOCUMENT
+    df: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    rows_per_document: int = ROWS_PER_DOCUMENT,
+    bytes_per_document: int = BYTES_PER_DOCUMENT,
 ) -> None:
-    """Documents of at most ``rows_per_document`` rows, each a file of its own.
+    """Documents of at most so many rows and bytes (or of one row), each a file of its own.
 
     A file holds its document's first line, one line a row, and its last line;
     that makes ``maxRecordsPerFile`` cut the files exactly between documents.
@@ -121,7 +137,7 @@ def write_json_tabular(
     head = json.dumps(header, ensure_ascii=False, separators=(",", ":"))[:-1] + ',"rows":['
     counted = Observation()
     texts = df.select(json_list(df).alias("value")).observe(counted, F.count(F.lit(1)).alias("rows"))
-    lines = texts.mapInArrow(_documents(head, rows_per_document), "value string")
+    lines = texts.mapInArrow(_documents(head, rows_per_document, bytes_per_document), "value string")
     writer = lines.write.mode(mode).option("maxRecordsPerFile", rows_per_document + 2)
     writer.text(path)
     if counted.get["rows"] == 0:

@@ -185,6 +185,14 @@ def test_tabular_documents_are_bounded(spark, tmp_path):
     assert json_tabular.read_json_tabular(spark, path).count() == 25
 
 
+def test_tabular_documents_are_bounded_in_bytes(spark, tmp_path):
+    df = spark.range(0, 300, 1, 1).select("id", F.repeat(F.lit("x"), (F.col("id") % 7 * 100).cast("int")).alias("t"))
+    json_tabular.write_json_tabular(df, str(tmp_path / "b"), rows_per_document=50, bytes_per_document=2_000)
+    files = list((tmp_path / "b").glob("part-*"))
+    assert len(files) > 30 and max(f.stat().st_size for f in files) < 2_300
+    assert sorted(json_tabular.read_json_tabular(spark, str(tmp_path / "b")).collect()) == sorted(df.collect())
+
+
 @pytest.mark.parametrize("kind", ["no partitions", "empty partitions", "local"])
 def test_tabular_without_rows(spark, tmp_path, kind):
     path = str(tmp_path / "out")
