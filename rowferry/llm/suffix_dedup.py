@@ -11,6 +11,7 @@ doubles the compared length each time, until it is LENGTH.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 CHUNK, RANKED = 1 << 18, 4 << 20
 #: Bytes of the first buckets.
 FIRST = 4
+#: A print in more blocks than this is not gathered in one place: its strings are dealt out by their own bytes.
+HOT_BLOCKS = 200
 
 _LOW = np.uint64(63)
 
@@ -117,7 +120,8 @@ def _cuts(prints: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def shared_prints(blocks: DataFrame, ranges: int) -> DataFrame:
-    """The prints of a block that occur twice there or in another block too: block, blob."""
+    """The prints of a block that occur twice there or in another block too: block, prints, hot (a bit for each)."""
+    most = HOT_BLOCKS
 
     def collect(table: pa.Table) -> pa.Table:
         texts = [text or b"" for text in table["data"].to_pylist()]
@@ -140,18 +144,22 @@ def shared_prints(blocks: DataFrame, ranges: int) -> DataFrame:
         of = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
         order = np.argsort(together, kind="stable")
         ascending = together[order]
-        again = np.zeros(len(order), bool)
-        again[1:] = ascending[1:] == ascending[:-1]
-        again[:-1] |= again[1:]
-        shared = np.empty(len(order), bool)
-        shared[order] = again
-        shared |= np.concatenate(several)
+        starts = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]]))
+        sizes = np.diff(starts, append=len(order))
+        n_blocks = np.empty(len(order), np.int64)
+        n_blocks[order] = np.repeat(sizes, sizes)
+        shared = (n_blocks > 1) | np.concatenate(several)
         ends = np.searchsorted(of, np.arange(len(prints) + 1))
-        rows = [{"block": int(blocks[i]), "prints": prints[i][shared[ends[i] : ends[i + 1]]].tobytes()} for i in range(len(prints))]
-        return pa.Table.from_pylist([row for row in rows if row["prints"]], schema=pa.schema([("block", pa.int32()), ("prints", pa.binary())]))
+        rows = []
+        for i, own in enumerate(prints):
+            part = slice(ends[i], ends[i + 1])
+            chosen = shared[part]
+            if chosen.any():
+                rows.append({"block": int(blocks[i]), "prints": own[chosen].tobytes(), "hot": np.packbits(n_blocks[part][chosen] > most).tobytes()})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int32()), ("prints", pa.binary()), ("hot", pa.binary())]))
 
     gathered = blocks.groupBy("block").applyInArrow(collect, "range int, block int, prints binary, several binary")
-    return gathered.groupBy("range").applyInArrow(meet, "block int, prints binary")
+    return gathered.groupBy("range").applyInArrow(meet, "block int, prints binary, hot binary")
 
 
 # ---------------------------------------------------------------- strings around shared prints
@@ -177,21 +185,29 @@ def repeated_strings(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataF
             return pa.Table.from_pylist([], schema=_SENT)
         block = docs["block"][0].as_py()
         ids, keys, texts = _ordered_texts(docs)
-        wanted = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in prints["prints"].to_pylist()]))
+        parts = [np.frombuffer(b, np.uint64) for b in prints["prints"].to_pylist()]
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(p)) for b, p in zip(prints["hot"].to_pylist(), parts)]
+        wanted, hot = np.concatenate(parts), np.concatenate(bits).astype(bool)
+        order = np.argsort(wanted)
+        wanted, hot = wanted[order], hot[order]
         seen: dict[bytes, tuple[int, int]] = {}
         spans, numbers, strings = [], [], []
         for of, text, start, count, tie in _block_runs(texts):
             at = np.minimum(np.searchsorted(wanted, of), len(wanted) - 1)
             for i in np.flatnonzero(wanted[at] == of).tolist():
-                t, s, c = int(text[i]), int(start[i]), int(count[i])
-                string = texts[t][s : s + c + LENGTH - 1]
-                here = (ids[t], s)
-                # Of equal strings in a block only the first is sent; the others repeat it.
-                if seen.setdefault(string, here) < here:
-                    spans.append((ids[t], keys[t], s, s + len(string)))
-                else:
-                    numbers.append((int(of[i].view(np.int64)), ids[t], keys[t], s, c, int(tie[i])))
-                    strings.append(string)
+                t, upto = int(text[i]), int(start[i]) + int(count[i])
+                each = bool(hot[at[i]])  # one string by one, or all neighbours together
+                for s in range(int(start[i]), upto, 1 if each else upto):
+                    c = 1 if each else upto - s
+                    string = texts[t][s : s + c + LENGTH - 1]
+                    here = (ids[t], s)
+                    # Of equal strings in a block only the first is sent; the others repeat it.
+                    if seen.setdefault(string, here) < here:
+                        spans.append((ids[t], keys[t], s, s + len(string)))
+                    else:
+                        meets_at = int.from_bytes(blake2b(string, digest_size=8).digest(), "little", signed=True) if each else int(of[i].view(np.int64))
+                        numbers.append((meets_at, ids[t], keys[t], s, c, int(tie[i])))
+                        strings.append(string)
         rows = []
         if spans:
             rows.append({"range": block % ranges, "kind": 1, "block": block, "numbers": np.array(spans, np.int64).tobytes(), "data": b""})

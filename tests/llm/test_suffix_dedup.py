@@ -52,8 +52,9 @@ def removed(df):
     return sorted(map(tuple, found.collect()), key=repr)
 
 
-@pytest.mark.parametrize("size", [1 << 23, 2_000])
-def test_removal(spark, documents, monkeypatch, size):
+@pytest.mark.parametrize(("size", "hot"), [(1 << 23, 200), (2_000, 200), (2_000, 3)])
+def test_removal(spark, documents, monkeypatch, size, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", size)
     monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", size)
     assert removed(suffix_dedup.without_repeats(spark, documents(ROWS))) == expected(ROWS)
