@@ -21,7 +21,7 @@ def test_empty_result_has_an_envelope(spark):
     row = results.run_sql(spark, "/* none */ SELECT 1 AS a, 'x' AS b WHERE false").envelope().first()
     assert row.asDict() == {
         "cols": ["a", "b"], "column_types": ["int", "string"], "rows_returned": 0, "truncated": False,
-        "stmt_cmd": "select", "stmt_type": "query",
+        "rows_affected": None, "stmt_cmd": "select", "stmt_type": "query",
     }
 
 
