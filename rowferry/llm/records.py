@@ -13,11 +13,13 @@ ids before it in the file, so that records can be read in any order.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,12 @@ from rowferry.plans.session import ship_package
 #: Text bytes meant for one writing task, and bytes after which a task starts a new file.
 TASK_BYTES, FILE_BYTES = 32 << 20, 64 << 20
 #: Pieces of text in a generation of a worker's memory, and characters that are looked up together.
-CACHED_PIECES, BATCH_CHARS = 200_000, 1_000_000
+CACHED_PIECES, BATCH_CHARS = 250_000, 1_000_000
 
 _HEAD, _CRC, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
 
+_STOP = re.compile("(?<=[0-9A-Za-z])[.,]")
+
 MANIFEST = "task int, part int, data string, index string, n_docs bigint, n_ids bigint"
 
 
@@ -67,8 +71,10 @@ def unframe(data: memoryview, offset: int = 0) -> tuple[int | None, np.ndarray,
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. Its files drop white space, so a text is encoded piece by
-    piece between spaces and line breaks, and pieces seen lately are remembered as bytes of ids."""
+    """Ids by the tokenizers library. Its file drops white space, so a text is encoded piece by
+    piece between spaces and line breaks, and pieces seen lately are remembered as bytes of ids.
+    As the file also lower-cases, after composing characters, and ends a run of letters or a
+    digit before a dot or comma, there are fewer different pieces than words of the text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -79,18 +85,35 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items() if token.special}
         self.between, self.between_id = next(iter(special.items()), (None, None))
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None  # which ids end a word
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[number for token, number in vocab.items() if token.endswith(suffix)]] = True
         self.recent = Recent(CACHED_PIECES, self._find)
 
     def _find(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Pieces are encoded many at a time with a special token between them; those that may hold one, alone."""
-        plain = [piece for piece in pieces if "<" not in piece] if self.between else []
-        alone = [piece for piece in pieces if "<" in piece] if self.between else pieces
-        for at in range(0, len(plain), 2_000):
-            part = plain[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.between_id).tolist()
-            data = ids.tobytes()
-            yield from ((piece, data[4 * start : 4 * end]) for piece, start, end in zip(part, [0, *(cut + 1 for cut in cuts)], [*cuts, len(ids)]))
+        """Pieces are encoded many at a time: words of letters with spaces between, each with one token
+        that ends it; others with a special token between; those that may hold one, alone."""
+        words = [piece for piece in pieces if piece.isalpha() and piece.islower() and max(piece) < "\u0250"] if self.ends is not None else []
+        others = set(pieces).difference(words)
+        alone = [piece for piece in others if "<" in piece or self.between is None]
+        others = list(others.difference(alone))
+        for group, between in ((words, " "), (others, self.between)):
+            for at in range(0, len(group), 2_000):
+                part = group[at : at + 2_000]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                if group is words:
+                    stops = np.flatnonzero(self.ends[ids]) + 1
+                    starts = np.append(0, stops[:-1])
+                else:
+                    cuts = np.flatnonzero(ids == self.between_id)
+                    starts, stops = np.append(0, cuts + 1), np.append(cuts, len(ids))
+                if len(starts) != len(part):
+                    raise ValueError("pieces and ids do not match")
+                data = ids.tobytes()
+                yield from ((piece, data[start:end]) for piece, start, end in zip(part, (4 * starts).tolist(), (4 * stops).tolist()))
         for at in range(0, len(alone), 2_000):
             part = alone[at : at + 2_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
@@ -100,14 +123,21 @@ class LibraryEncoder:
         waiting: list[list[str]] = []
         size = 0
         for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            waiting.append(pieces)
+            waiting.append(self._pieces(text or ""))
             size += len(text or "")
             if size > BATCH_CHARS:
                 yield from self._encode(waiting)
                 waiting, size = [], 0
         yield from self._encode(waiting)
 
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        lowered = text.lower()
+        # A final sigma has a lower case of its own in Python only; and composing must come to nothing either way.
+        if "Σ" not in text and (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", lowered)):
+            text = lowered
+        return _STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+
     def _encode(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
         known = self.recent.know(chain.from_iterable(waiting))
         for pieces in waiting:
