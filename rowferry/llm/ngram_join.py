@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from rowferry.llm.components import components
 from rowferry.llm.scratch import discard, stored
 from rowferry.llm.signature_trees import spanning_links
-from rowferry.llm.words import mixed, shingles, word_lists
+from rowferry.llm.words import mixed, shingles, slices, word_lists
 from rowferry.plans.session import ship_package
 
 #: Words of a shingle, and the least similarity in per cent.
 WORDS, PERCENT = 5, 75
 
 #: Shingles gathered by a task before it sends them, and meant for one range of them.
-GATHERED, RANGE_SHINGLES = 2_000_000, 3_000_000
+GATHERED, RANGE_SHINGLES = 1_000_000, 2_000_000
 #: Sets and shingles of a piece of a block.
 PIECE_SETS, PIECE_SHINGLES = 100, 1_000_000
 #: A shingle in this share of all sets counts as common: it is not gathered in one place, only counted. There are
@@ -68,7 +68,7 @@ def shingle_sets(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 )
 
         names = ["doc_id", "n", "set_id", "check", "shingle", "count"]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = _shingle_sets(batch.column(1).to_pylist())
             ids, checks = _set_ids(sets)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -158,7 +158,7 @@ def shared_shingles(spark: SparkSession, docs: DataFrame, ranges: int, common: n
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = _shingle_sets(batch.column(0).to_pylist())
             for key, s in zip(_set_ids(sets)[0].tolist(), sets):
                 if len(s) and key not in held:  # copies in one task count once
@@ -301,7 +301,7 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, ranges: int, co
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "set_id", "block", "pieces", "piece")
 
     def shingle(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = _shingle_sets(batch.column(0).to_pylist())
             same = pa.array(_set_ids(sets)[0] == np.array(batch.column(1).to_pylist(), np.int64))  # rows may repeat a doc_id
             made = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "block", "pieces", "piece", "shingles"])

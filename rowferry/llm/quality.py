@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.folds import held_out, sampled_ids
 from rowferry.llm.scratch import free_name
-from rowferry.llm.words import SPACES, hash_words, powers
+from rowferry.llm.words import SPACES, hash_words, powers, slices
 from rowferry.plans.session import ship_package
 
 #: Positives and unlabelled rows that are learned from, at most.
@@ -168,7 +168,7 @@ def measured(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ship_package(spark)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             flat = np.concatenate([measure((text or "").encode()) for text in batch.column(1).to_pylist()] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), FEATURES).cast(pa.list_(pa.float64()))], names=["doc_id", "features"])
 
@@ -201,7 +201,7 @@ def score(spark: SparkSession, docs: DataFrame, net: Network | None, columns: tu
     chosen = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text_to_score"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(len(columns)).to_pylist()
             x = np.stack([measure((text or "").encode()) for text in texts]) if texts else np.empty((0, FEATURES))
             scores = np.ones(len(texts)) if net is None else net.scores(x)

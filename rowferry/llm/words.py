@@ -9,6 +9,9 @@ import numpy as np
 #: Bytes hashed at a time; a single longer word is taken whole.
 CHUNK = 1 << 19
 
+#: Rows of an Arrow batch that are turned into Python objects together.
+ROWS = 500
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -114,3 +117,8 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     for at in range(n):
         total += words[at : at + count] * factors[2 * at + 1]
     return np.unique(mixed(total))
+
+
+def slices(batch, rows: int = ROWS):
+    """An Arrow batch in parts of few rows, as its texts take more room as Python objects."""
+    return (batch.slice(at, rows) for at in range(0, len(batch), rows))
