@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm.folds import held_out, sampled_ids
-from rowferry.llm.words import NO_WORD, mixed, powers, word_lists
+from rowferry.llm.words import NO_WORD, mixed, powers, slices, word_lists
 from rowferry.plans.session import ship_package
 
 #: Slots that features are hashed to: the dense weights take four megabytes at most.
@@ -44,10 +44,9 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: i
     def weight(at):
         return np.where(np.abs(z[at]) <= shrink[at], 0.0, (np.sign(z[at]) * shrink[at] - z[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    docs = [np.append(doc, slots - 1) for doc in docs]
     for _ in range(PASSES):
         for i in draw.permutation(len(docs)):
-            at = docs[i]
+            at = np.append(docs[i], slots - 1)
             w = weight(at)
             slope = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]) * weights[i]
             squared = n[at] + slope * slope
@@ -75,13 +74,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.n
     chosen = parts[0].unionByName(parts[1])
 
     def featurise(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             slots = [np.unique(features(words)).astype(np.int32).tobytes() for words in word_lists(batch.column(0).to_pylist(), NO_WORD)]
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), batch.column(1), batch.column(2), batch.column(3)], names=["slots", "toxic", "weight", "doc_id"])
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
-        made, bias = fit([np.frombuffer(x, np.int32).astype(np.int64) for x in rows.slots], rows.toxic.to_numpy(), rows.weight.to_numpy())
+        made, bias = fit([np.frombuffer(x, np.int32) for x in rows.slots], rows.toxic.to_numpy(), rows.weight.to_numpy())
         at = np.flatnonzero(made)
         return pd.DataFrame({"slot": np.append(at, 1 << BITS), "weight": np.append(made[at].astype(float), bias)})
 
@@ -101,7 +100,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[np.ndarray, float])
 
     def run(batches):
         weights = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             scores = []
             for words in word_lists(batch.column(1).to_pylist(), NO_WORD):
                 slots = features(words)
