@@ -74,7 +74,8 @@ class LibraryEncoder:
     """Ids by the tokenizers library. Its file drops white space, so a text is encoded piece by
     piece between spaces and line breaks, and pieces seen lately are remembered as bytes of ids.
     As the file also lower-cases, after composing characters, and ends a run of letters or a
-    digit before a dot or comma, there are fewer different pieces than words of the text."""
+    digit before a dot or comma, there are fewer different pieces than words of the text.
+    Special tokens are matched before that, so pieces that may hold one keep their case."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -134,9 +135,13 @@ class LibraryEncoder:
     def _pieces(text: str) -> list[str]:
         lowered = text.lower()
         # A final sigma has a lower case of its own in Python only; and composing must come to nothing either way.
-        if "Σ" not in text and (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", lowered)):
-            text = lowered
-        return _STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ")
+        lower = "Σ" not in text and (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", lowered))
+        special = "<" in text
+        pieces = _STOP.sub(r" \g<0>", lowered if lower and not special else text).replace("\n", " ").split(" ")
+        if lower and special:
+            # Special tokens are those of the raw text: lowering must not make one.
+            pieces = [piece if "<" in piece else piece.lower() for piece in pieces]
+        return pieces
 
     def _encode(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
         known = self.recent.know(chain.from_iterable(waiting))

@@ -7,7 +7,7 @@ import pytest
 from conftest_llm import SMALL
 from tokenizers import Tokenizer
 
-from rowferry.llm import records
+from rowferry.llm import bpe, records
 from rowferry.llm.recent import Recent
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,15 @@ def test_round_trip(spark, documents, monkeypatch, size):
     assert drawn == records.read_shuffled(spark, manifest, seed=5).collect()
 
 
+def test_special_tokens_are_matched_in_the_raw_text(spark, documents):
+    spelled = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>"]
+    texts = [*spelled, *[f"Hello{word}World, É <B>X.Y {word}. {word}\n{word.replace('>', ' >')}" for word in spelled], " ".join(spelled), "Σ É <|EndOfText|> e\u0301", "<|Endo.ftext|> <|END,OFTEXT|>"]
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, records.read(spark, records.write(spark, documents(rows), PATH, end_id=1)).collect())) == expected(rows)
+    encoded = bpe.vocabulary(PATH).encode_batch(texts)
+    assert [ids.tolist() for ids in records.library_encoder(PATH).encode_batch(texts)] == [ids.tolist() for ids in encoded]
+
+
 def test_no_rows(spark, documents):
     assert records.read(spark, records.write(spark, documents([]), PATH, end_id=1)).collect() == []
 
