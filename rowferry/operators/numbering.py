@@ -120,6 +120,13 @@ def rows_before(df: DataFrame, ranges: Ranges) -> list[int]:
     return list(accumulate(_counts(df, ranges, F.lit(True)), initial=0))
 
 
+def number_ranges(df: DataFrame, ranges: Ranges, before: list[int], name: str) -> DataFrame:
+    """Number the rows from 1 in the order of known ranges, with the rows before each of them."""
+    window = Window.partitionBy(_RANGE).orderBy(*_columns(ranges.schema.fieldNames()))
+    earlier = F.get(F.from_json(F.lit(f"{before}"), "array<bigint>"), F.col(_RANGE))
+    return ranges.place(df).withColumn(name, F.row_number().over(window).cast("long") + earlier).drop(_RANGE)
+
+
 def _group_rows_before(df: DataFrame, ranges: Ranges, group_by: list[str]) -> list[int]:
     """For each range, the rows in earlier ranges of the group that its first key lies in."""
     place = F.col(_RANGE)

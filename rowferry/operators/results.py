@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from rowferry.functions.statements import clean_statement, statement_command, statement_type
 from rowferry.functions.texts import cell_text, field_column, json_value, quoted_name, shown_length
-from rowferry.operators.numbering import ROWS_PER_RANGE, find_ranges, number_rows, rows_before
+from rowferry.operators.numbering import ROWS_PER_RANGE, find_ranges, number_ranges, number_rows, rows_before
 from rowferry.sources import tables
 
 # The default cap of a result, the rows of a page, the sample's rows and the widths' measures.
@@ -118,8 +118,9 @@ def page(df: DataFrame, order_by: list[str], number: int, size: int = PAGE_SIZE)
     """One page, counted from 0, of a table in an order whose columns are unique together.
 
     An early page is a top-k. For a late one the order is cut into ranges and
-    only those that the page touches are read on, cut again while they are
-    large; the rows are the same either way.
+    only those that the page touches are read on, cut again while that leaves
+    rows out. A page that no top-k may hold, or that touches all ranges, is
+    numbered within them; the rows are the same either way.
     """
     return _stretch(df, order_by, number * size, size)
 
@@ -141,7 +142,13 @@ def _stretch(df: DataFrame, order_by: list[str], start: int, size: int) -> DataF
     if last < ranges.last:
         upper = ranges.cut(last + 1)[order_by[0]]
         near = near.where(leading.isNull() | (leading <= upper))
-    return _stretch(ranges.between(near, first, last), order_by, start - before[first], size)
+    near = ranges.between(near, first, last)
+    # The range that a cut starts holds its key; the one before the first cut may be empty.
+    fewer = before[first] > 0 or last < ranges.last
+    if fewer and size <= TOP_ROWS:
+        return _stretch(near, order_by, start - before[first], size)
+    numbered = number_ranges(near, ranges, before, "__number")
+    return numbered.where(F.col("__number").between(start + 1, start + size)).drop("__number").orderBy(*columns)
 
 
 def page_index(

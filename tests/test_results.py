@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -114,6 +115,35 @@ def test_late_pages_with_nulls_first(spark):
         assert page == list(range(number * 15, number * 15 + 15))
 
 
+@pytest.mark.parametrize("number", [0, 1, 2, 3, 4])
+def test_pages_larger_than_a_top_k(spark, number):
+    df = spark.range(22_000).select(((F.col("id") * 7919) % 22_000).alias("k"))
+    page = [r.k for r in results.page(df, ["k"], number, size=6_000).collect()]
+    assert page == list(range(number * 6_000, min(22_000, number * 6_000 + 6_000)))
+
+
+@pytest.mark.parametrize("order_by", [["k"], ["a", "k"]])
+def test_every_page_of_less_than_two_ranges(spark, monkeypatch, order_by):
+    monkeypatch.setattr(results, "TOP_ROWS", 500)
+    df = spark.range(990).select(F.when(F.col("id") >= 300, F.lit(1)).alias("a"), F.col("id").alias("k")).cache()
+    for size in (15, 330, 600):
+        for number in range(-(-990 // size) + 1):
+            page = [r.k for r in results.page(df, order_by, number, size).collect()]
+            assert page == list(range(number * size, min(990, number * size + size)))
+
+
+def test_pages_at_the_only_cut(spark):
+    """A page that ends beyond a top-k and lies on both sides of the one cut."""
+    df = spark.range(9_900).withColumnRenamed("id", "k")
+    cuts = numbering.find_ranges(df, ["k"], results.TOP_ROWS).cuts
+    assert len(cuts) == 1
+    cut = json.loads(cuts[0])["k"]
+    for size in (15, 4_000):
+        for number in {max(0, cut // size - 1), cut // size, cut // size + 1, 9_900 // size - 1, 9_900 // size}:
+            page = [r.k for r in results.page(df, ["k"], number, size).collect()]
+            assert page == list(range(number * size, min(9_900, number * size + size)))
+
+
 def test_page_count(spark):
     counts = spark.createDataFrame([(0,), (1,), (15,), (16,)], "n long")
     assert [r[0] for r in counts.select(results.page_count(F.col("n"))).collect()] == [0, 1, 1, 2]
