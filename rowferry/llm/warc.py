@@ -5,13 +5,17 @@ each record a gzip member of its own; ``indexes/index.cdxj``, a line per record
 with its place in that member; and ``datapackage.json``, which names both. A
 reader finds the members by the central directory at the archive's end, with
 its ZIP64 form where sizes ask for it, and then fetches records by their ranges.
+It takes archives of others too: any ``archive/*.warc.gz`` (or ``.warc``) and
+``indexes/*.cdx*`` members, CDXJ and CDX lines, any record types and identifiers.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,6 +40,7 @@ DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackag
 _LOCAL, _CENTRAL, _END = 0x04034B50, 0x02014B50, 0x06054B50
 _END64, _LOCATOR64 = 0x06064B50, 0x07064B50
 _FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
+_DEFLATED = 8
 _DOS_DATE = 0x21  # 1980-01-01
 _LOCAL_HEAD, _CENTRAL_HEAD, _END_HEAD = struct.Struct("<IHHHHHIIIHH"), struct.Struct("<IHHHHHHIIIHHHHHII"), struct.Struct("<IHHHHIIH")
 _END64_HEAD, _LOCATOR_HEAD = struct.Struct("<IQHHIIQQQQ"), struct.Struct("<IIQI")
@@ -94,6 +99,7 @@ class Member:
     size: int
     crc: int
     stored: bool
+    method: int = 0
 
 
 def directory(file) -> dict[str, Member]:
@@ -128,7 +134,7 @@ def directory(file) -> dict[str, Member]:
         head = _LOCAL_HEAD.unpack(file.read_at(_LOCAL_HEAD.size, place))
         if head[0] != _LOCAL:
             raise ValueError(f"no local header for {name}")
-        members[name] = Member(place + _LOCAL_HEAD.size + head[-2] + head[-1], packed, crc, method == 0)
+        members[name] = Member(place + _LOCAL_HEAD.size + head[-2] + head[-1], packed, crc, method == 0, method)
     return members
 
 
@@ -169,24 +175,64 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return packer.compress(whole) + packer.flush()
 
 
+def _agrees(digest: str, data: bytes) -> bool:
+    """Whether a labelled digest, base32 or hexadecimal, is that of the data; one of an unknown kind counts as such."""
+    kind, _, value = digest.strip().partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return True
+    found = hashlib.new(kind, data).digest()
+    return value.upper().rstrip("=") in (base64.b32encode(found).decode().rstrip("="), found.hex().upper())
+
+
+def _page(identifier: str | None) -> int | None:
+    found = re.fullmatch("<urn:page:(-?[0-9]+)>", identifier or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
+
+
 def parse(data: bytes) -> dict:
-    """The fields of a record and its payload (of a revisit: none), checked against its lengths and digest."""
-    whole = zlib.decompress(data, 31)
+    """The fields of a record and its payload (of a revisit: none), checked against its lengths and digests as far as it has them.
+
+    Identifiers are texts; ``page_id`` is the number of those that name a page. The payload of a
+    record that is no HTTP message is its whole block.
+    """
+    whole = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = whole.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-    body = rest[: int(fields["Content-Length"])]
-    payload = body.partition(b"\r\n\r\n")[2]
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    kind = fields["WARC-Type"]
-    if kind == "response" and (len(payload) != int(fields["WARC-Payload-Length"]) or base32_sha1(payload) != digest):
-        raise ValueError(f"damaged payload of {fields['WARC-Record-ID']}")
-    number = lambda name: int(text) if (text := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
+    fields: dict[str, str] = {}
+    name = ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:  # a folded line
+            fields[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.removeprefix(" ")
+    identifier = fields.get("warc-record-id", "").strip()
+    length = fields.get("content-length")
+    body = rest.removesuffix(b"\r\n\r\n") if length is None else rest[: int(length)]
+    if length is not None and len(body) != int(length):
+        raise ValueError(f"damaged block of {identifier}")
+    kind = fields.get("warc-type", "").strip()
+    http, payload = b"", body
+    if fields.get("content-type", "").strip().lower().startswith("application/http"):
+        http, _, payload = body.partition(b"\r\n\r\n")
+    digest, size = fields.get("warc-payload-digest"), fields.get("warc-payload-length")
+    if "warc-block-digest" in fields and not _agrees(fields["warc-block-digest"], body):
+        raise ValueError(f"damaged block of {identifier}")
+    if kind != "revisit":
+        # Archives differ in whether the digest of a payload sent in chunks is that of the chunks: it is not checked.
+        chunked = b"\r\ntransfer-encoding:" in http.lower()
+        if not chunked and (size is not None and len(payload) != int(size) or digest is not None and not _agrees(digest, payload)):
+            raise ValueError(f"damaged payload of {identifier}")
+        size = len(payload) if size is None else size
+    refers_to = fields.get("warc-refers-to", "").strip()
     return {
-        "page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "payload_bytes": int(fields["WARC-Payload-Length"]), "payload_digest": digest,
-        "record_type": kind, "refers_to": number("WARC-Refers-To"), "payload": payload if kind == "response" else None,
+        "page_id": _page(identifier), "url": fields.get("warc-target-uri"), "payload_bytes": None if size is None else int(size),
+        "payload_digest": None if digest is None else digest.strip().removeprefix("sha1:"), "record_type": kind, "refers_to": _page(refers_to),
+        "record_id": identifier or None, "refers_to_id": refers_to or None, "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -249,6 +295,58 @@ def write(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     return stored(spark, marked.mapInArrow(run, "archive string, n_records bigint"), "archive-list")[0]
 
 
+def _index_text(file, name: str, member: Member) -> str:
+    data = file.read_at(member.size, member.offset)
+    if not member.stored:
+        if member.method != _DEFLATED:
+            raise ValueError(f"{name} is packed by the unknown method {member.method}")
+        data = zlib.decompress(data, -15)
+    if zlib.crc32(data) != member.crc:
+        raise ValueError(f"damaged index {name}")
+    if name.endswith(".gz"):  # of one or more gzip members
+        data = gzip.decompress(data)
+    return data.decode()
+
+
+def _entries(text: str) -> Iterator[tuple[str | None, int, int]]:
+    """File name, offset and length of each line: CDXJ (key, timestamp, JSON), JSON alone, or CDX with its head line."""
+    letters: list[str] = []
+    for line in text.split("\n"):
+        if line.lstrip().startswith("CDX "):
+            letters = line.split()[1:]
+        elif line.strip() and not line.startswith("!"):
+            if letters:
+                found = dict(zip(letters, line.split()))
+                name, offset, length = found["g"], found["V"], found["S"]
+            else:
+                found = json.loads(line[line.index("{") :])
+                name, offset, length = found.get("filename"), found["offset"], found["length"]
+            yield name, int(offset), int(length)
+
+
+def places(file) -> list[tuple[int, int]]:
+    """Offset in the archive and length of every record that its indexes name, each once, in ascending order."""
+    members = directory(file)
+    data = {name: member for name, member in members.items() if re.fullmatch(r"archive/.+\.warc(\.gz)?", name)}
+    indexes = [name for name in members if re.fullmatch(r"indexes/.+\.cdxj?(\.gz)?", name)]
+    if not indexes:
+        raise ValueError("no index in the archive")
+    found = set()
+    for index in indexes:
+        for name, offset, length in _entries(_index_text(file, index, members[index])):
+            if name is None and len(data) != 1:
+                raise ValueError(f"{index} names no file, of {len(data)}")
+            member = next(iter(data.values())) if name is None else data.get(name) or data.get(f"archive/{name}")
+            if member is None:
+                raise ValueError(f"{index} names {name}, which is not in the archive")
+            if not member.stored:
+                raise ValueError(f"compressed member {name}")
+            if offset < 0 or offset + length > member.size:
+                raise ValueError(f"{index} names a place beyond the end of {name}")
+            found.add((member.offset + offset, length))
+    return sorted(found)
+
+
 def index_of(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Where the records are: archive, group, offset (in the archive), length. Only directories and indexes are read."""
     ship_package(spark)
@@ -257,18 +355,11 @@ def index_of(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 with opened(uri) as file:
-                    members = directory(file)
-                    data, index = members[DATA], members[INDEX]
-                    if not (data.stored and index.stored):
-                        raise ValueError(f"compressed members in {uri}")
-                    text = file.read_at(index.size, index.offset)
-                if zlib.crc32(text) != index.crc:
-                    raise ValueError(f"damaged index in {uri}")
-                entries = [json.loads(line) for line in text.splitlines()]
+                    entries = places(file)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([uri] * len(entries)), pa.array([i // FETCH_ROWS for i in range(len(entries))], pa.int64()),
-                        pa.array([data.offset + e["offset"] for e in entries], pa.int64()), pa.array([e["length"] for e in entries], pa.int64()),
+                        pa.array([offset for offset, _ in entries], pa.int64()), pa.array([length for _, length in entries], pa.int64()),
                     ],
                     names=["archive", "group", "offset", "length"],
                 )
@@ -280,9 +371,9 @@ def index_of(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 def fetch(spark: SparkSession, places: DataFrame, payloads: bool = True) -> DataFrame:
     """The records at the given places, fetched by range and checked; neighbours are fetched together."""
     ship_package(spark)
-    fields = ["page_id bigint", "url string", "payload_bytes bigint", "payload_digest string", "record_type string", "refers_to bigint", *["payload binary"] * payloads]
+    fields = ["page_id bigint", "url string", "payload_bytes bigint", "payload_digest string", "record_type string", "refers_to bigint", "record_id string", "refers_to_id string", *["payload binary"] * payloads]
     names = [field.split()[0] for field in fields]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches):
         for batch in batches:
@@ -307,4 +398,4 @@ def fetch(spark: SparkSession, places: DataFrame, payloads: bool = True) -> Data
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return fetch(spark, index_of(spark, manifest), payloads=False).drop("url")
+    return fetch(spark, index_of(spark, manifest), payloads=False).drop("url", "record_id", "refers_to_id")

@@ -91,6 +91,51 @@ def test_archives_of_others():
         warc.directory(Bytes(b"nothing"))
 
 
+UUID = "<urn:uuid:0d8b6c1e-7a34-4c55-9d3c-1f6f0f4b7a11>"
+
+
+def foreign(kind, block, *fields):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {UUID}", *fields, f"content-length:{len(block)}"]
+    return warc.gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello"
+
+
+@pytest.mark.parametrize("form", ["cdxj", "cdx", "cdxj.gz"])
+def test_members_and_indexes_of_others(spark, tmp_path, form):
+    first = [foreign("warcinfo", b"software: x"), foreign("response", HTTP, "WARC-Target-URI: http://a/", "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{warc.base32_sha1(b'hello')}")]
+    second = [foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Target-URI: http://b/", "Content-Type: application/http", f"WARC-Refers-To: {UUID}"), foreign("resource", b"raw", "Content-Type: text/plain")]
+    members = {"one.warc.gz": first, "two.warc.gz": second}
+    lines = []
+    for name, parts in members.items():
+        offset = 0
+        for part in parts:
+            json_part = warc.json.dumps({"url": "http://a/", "filename": name, "offset": str(offset), "length": str(len(part))})
+            lines.append(f"com,a)/ 20240102030405 http://a/ text/html 200 X - - {len(part)} {offset} {name}" if form == "cdx" else f"com,a)/ 20240102030405 {json_part}")
+            offset += len(part)
+    text = "\n".join([" CDX N b a m s k r M S V g"] * (form == "cdx") + lines[::-1]).encode()
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w") as archive:
+        for name, parts in members.items():
+            archive.writestr(f"archive/{name}", b"".join(parts))
+        archive.writestr(f"indexes/main.{form}", warc.gzip.compress(text) if form.endswith("gz") else text, zipfile.ZIP_DEFLATED)
+    manifest = spark.createDataFrame([(path.as_uri(), 4)], "archive string, n_records long")
+    rows = warc.fetch(spark, warc.index_of(spark, manifest)).collect()
+    found = sorted(((r.record_type, r.record_id, r.page_id, r.url, r.payload_bytes, r.refers_to_id, r.payload) for r in rows), key=repr)
+    assert found == [
+        ("resource", UUID, None, None, 3, None, b"raw"), ("response", UUID, None, "http://a/", 5, None, b"hello"),
+        ("revisit", UUID, None, "http://b/", None, UUID, None), ("warcinfo", UUID, None, None, 11, None, b"software: x"),
+    ]
+
+
+def test_damage_of_others_is_found():
+    with pytest.raises(ValueError, match="damaged payload"):
+        warc.parse(foreign("response", HTTP, "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{warc.base32_sha1(b'other')}"))
+    with pytest.raises(ValueError, match="damaged block"):
+        warc.parse(foreign("resource", b"raw", f"WARC-Block-Digest: sha256:{'0' * 64}"))
+
+
 def test_damage_is_found():
     data = warc.record(1, "u", b"payload", None)
     assert warc.parse(data)["payload"] == b"payload"
