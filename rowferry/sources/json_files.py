@@ -14,6 +14,10 @@ from rowferry.functions.texts import field_column, json_ready
 _AS_TEXT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 
+# What becomes of keys and cells that the header does not name.
+EXTRA = ("drop", "fail", "widen")
+
+
 def first_file(spark: SparkSession, path: str, pattern: str | None = None) -> str:
     """The first file of a folder by name. Only the listing is read."""
     reader = spark.read.format("binaryFile")
@@ -40,16 +44,32 @@ def from_text(value: str | F.Column, data_type: T.DataType):
     return F.unbase64(value) if isinstance(data_type, T.BinaryType) else value.cast(data_type)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The keys of the first object as columns; other keys are dropped, missing ones null.
+def all_keys(spark: SparkSession, path: str) -> list[str]:
+    """The keys of all objects of all files, sorted."""
+    keys = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("key"))
+    return sorted(row.key for row in keys.distinct().collect())
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, extra: str = "drop") -> DataFrame:
+    """The keys of the first object, or of ``schema``, as columns; missing ones are null.
+
+    Other keys are dropped; with ``extra="fail"`` they fail the call, with "widen" they
+    become columns after the others, by name. Both take a pass over the files for the keys.
 
     Without ``schema`` the column types come from one more pass over the files.
     A line that is no JSON, or does not fit its column's type, fails the query.
     """
-    if schema is None:
-        header = read_header(spark, path)
+    if extra not in EXTRA:
+        raise ValueError(f"unknown extra {extra}")
+    header = read_header(spark, path) if schema is None else schema.names
+    others = [key for key in all_keys(spark, path) if key not in header] if extra != "drop" else []
+    if others and extra == "fail":
+        raise ValueError(f"keys beyond the header {header}: {others}")
+    if schema is None or others:
         found = {f.name: f.dataType for f in spark.read.option("mode", "FAILFAST").json(path).schema}
-        schema = T.StructType([T.StructField(name, found.get(name, T.StringType())) for name in header])
+        given = [] if schema is None else schema.fields
+        added = [*(header if schema is None else []), *others]
+        schema = T.StructType([*given, *[T.StructField(name, found.get(name, T.StringType())) for name in added]])
     carried = T.StructType(
         [T.StructField(f.name, T.StringType() if isinstance(f.dataType, _AS_TEXT) else f.dataType) for f in schema]
     )

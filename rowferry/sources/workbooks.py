@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rowferry.functions.texts import field_column, flat_text
 from rowferry.sources import sheet_xml
-from rowferry.sources.json_files import first_file
+from rowferry.sources.json_files import EXTRA, first_file
 from rowferry.sources.workbook_sink import WorkbookSource
 
 PATTERN = "*.xlsx"
@@ -46,8 +46,9 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return first.mapInArrow(_header_of, "names array<string>").first().names
 
 
-def _cells_of(header: list[str]):
+def _cells_of(header: list[str], extra: str):
     width = len(header)
+    kept = width if extra == "drop" else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,9 +58,11 @@ def _cells_of(header: list[str]):
                 if found != header:
                     raise ValueError(f"{path} has the header {found}, not {header}")
                 for start in itertools.count(1, _BATCH_ROWS):
-                    part = [row[:width] for row in itertools.islice(rows, _BATCH_ROWS)]
+                    part = [row[:kept] for row in itertools.islice(rows, _BATCH_ROWS)]
                     if not part:
                         break
+                    if extra == "fail" and any(kind != sheet_xml.EMPTY for row in part for kind, _ in row[width:]):
+                        raise ValueError(f"{path} has cells beyond the header {header}")
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([path] * len(part), pa.string()),
@@ -93,22 +96,37 @@ def infer_types(cells: DataFrame, header: list[str]) -> T.StructType:
 
 
 def read_workbooks(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, origin_columns: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, origin_columns: bool = False, extra: str = "drop"
 ) -> DataFrame:
     """The rows of every workbook in a folder; all must have the same header.
 
     Numbers become doubles, flags booleans and all else text. A short row ends
-    in nulls, a long one is cut at the header's width. An empty cell is '' in a
+    in nulls, a long one is cut at the header's width; with ``extra="fail"`` filled
+    cells beyond it fail the query, with "widen" they become columns ``_c5`` and so
+    on, by their place from 0, after one more pass. An empty cell is '' in a
     text column and null in others. Without ``schema`` one more pass over the
     workbooks finds the column types. ``origin_columns`` adds the workbook and
     the row number as ``_workbook`` and ``_row``.
     """
+    if extra not in EXTRA:
+        raise ValueError(f"unknown extra {extra}")
     header = read_header(spark, path)
-    cells = _workbooks(spark, path).mapInArrow(_cells_of(header), _CELLS)
-    if schema is None:
-        schema = infer_types(cells.select("kinds"), header)
-    elif len(schema) != len(header):
+    cells = _workbooks(spark, path).mapInArrow(_cells_of(header, extra), _CELLS)
+    if schema is not None and len(schema) != len(header):
         raise ValueError(f"{len(header)} columns in the workbooks, {len(schema)} in the schema")
+    names = list(header)
+    if extra == "widen":
+        filled = F.rtrim(F.col("kinds"), F.lit(sheet_xml.EMPTY))
+        widest = cells.agg(F.max(F.length(filled))).first()[0] or 0
+        for i in range(len(header), widest):
+            name = f"_c{i}"
+            while name in names:
+                name = f"_{name}"
+            names.append(name)
+    if schema is None:
+        schema = infer_types(cells.select("kinds"), names)
+    elif len(names) > len(header):
+        schema = T.StructType([*schema.fields, *infer_types(cells.select("kinds"), names).fields[len(header) :]])
 
     def value(i: int, data_type: T.DataType):
         text = F.get("cells", F.lit(i))

@@ -350,3 +350,31 @@ def test_number_cells(tmp_path):
     assert rows[3][1] == ("n", str(2**60))
     assert [kind for (kind, _), *_ in rows] == ["n", "n", "s", "s", "e"]
     assert [float(text) for (_, text), *_ in rows[:2]] == values[:2]
+
+
+def test_json_keys_beyond_the_header(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"b": 1}\n')
+    (tmp_path / "b.json").write_text('{"b": 2, "z": {}, "a": "x"}\n')
+    path = str(tmp_path)
+    assert json_files.read_json(spark, path).columns == ["b"]
+    with pytest.raises(ValueError, match="'a', 'z'"):
+        json_files.read_json(spark, path, extra="fail")
+    for schema in (None, T.StructType([T.StructField("b", T.LongType())])):
+        wide = json_files.read_json(spark, path, schema, extra="widen")
+        assert sorted(map(tuple, wide.collect())) == [(1, None, None), (2, "x", "{}")] and wide.columns == ["b", "a", "z"]
+
+
+def test_cells_beyond_the_header(spark, tmp_path, monkeypatch):
+    rows = [[("s", "b")], [("n", "1"), ("n", "2.5"), ("e", "")], [("n", "3")]]
+    (tmp_path / "a.xlsx").write_bytes(b"-")
+    monkeypatch.setattr(workbooks.sheet_xml, "read_rows", lambda file: iter(rows))
+    batch = pa.RecordBatch.from_pydict({"path": ["p"], "content": [b"-"]})
+    assert [b.column("cells").to_pylist() for b in workbooks._cells_of(["b"], "drop")([batch])] == [[["1"], ["3"]]]
+    assert [b.column("cells").to_pylist() for b in workbooks._cells_of(["b"], "widen")([batch])] == [[["1", "2.5", ""], ["3"]]]
+    with pytest.raises(ValueError, match="beyond the header"):
+        list(workbooks._cells_of(["b"], "fail")([batch]))
+    monkeypatch.setattr(workbooks, "read_header", lambda spark, path: ["b"])
+    cells = spark.createDataFrame([("p", 1, "nne", ["1", "2.5", ""]), ("p", 2, "n", ["3"])], workbooks._CELLS)
+    monkeypatch.setattr(workbooks, "_workbooks", lambda spark, path: type("", (), {"mapInArrow": staticmethod(lambda *_: cells)}))
+    wide = workbooks.read_workbooks(spark, "p", extra="widen")
+    assert wide.columns == ["b", "_c1"] and sorted(map(tuple, wide.collect()), key=repr) == [(1.0, 2.5), (3.0, None)]
