@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.llm import bpe, decontamination, exact_dedup, ngram_join, quality, records, suffix_dedup, toxicity, url_filter, warc
+from rowferry.llm import (
+    bpe, decontamination, exact_dedup, knn_join, ngram_join, quality, records, spelling, suffix_dedup, toxicity, url_filter, warc, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
@@ -21,10 +23,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         records.op8_token_records,
         quality.op9_quality,
         toxicity.op10_toxicity,
+        knn_join.op11_knn_join,
+        spelling.op12_spelling_variants,
+        whitening.op13_whitening,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontamination.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_knn_join": knn_join.ORACLE,
 }
