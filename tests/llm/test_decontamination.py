@@ -42,6 +42,7 @@ DOCS = [
     (1, LONG), (2, "x " + " ".join(ALPHABET[3:13]) + " y"), (3, " ".join(ALPHABET[3:12]) + " y"), (4, "One, two; THREE! four"), (5, None), (6, ""), (7, "la " * 40),
     (8, "só é"), (9, "so e"), (None, "one two three"), (4, "other text of one number"), (1, LONG), (20, "nine words that stand in one row of text " * 3),
     (21, "seven words are in this short item " + " ".join(ALPHABET[10:25])), (22, "pre " * 3000 + " ".join(ALPHABET[5:16]) + " post" * 3000),
+    (23, "".join(map(chr, range(1, 128))) + "one\u0000two\u0000three \u0080\u00a0\u2003x"),
 ]
 
 
@@ -53,12 +54,17 @@ def bench(spark, items):
     return spark.createDataFrame([(i, text, "w") for i, text in items], "item_id long, text string, words string")
 
 
-@pytest.mark.parametrize("rows", [500_000, 0], ids=["broadcast", "shuffled"])
-def test_hits(spark, documents, monkeypatch, rows):
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize("size", [1 << 25, 0], ids=["broadcast", "shuffled"])
+def test_hits(spark, documents, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", size)
     assert found(decontamination.contamination(spark, documents(DOCS), bench(spark, ITEMS))) == expected(DOCS, ITEMS)
 
 
+def test_items_without_id_hit_but_have_no_name(spark, documents):
+    rows = found(decontamination.contamination(spark, documents([(1, "one two three"), (2, "two"), (3, "four five")]), bench(spark, [(None, "two"), (7, "four five")])))
+    assert rows == [(1, 3, 1, [], True), (2, 1, 1, [], True), (3, 2, 2, ["7"], True)]
+
+
 def test_empty_tables(spark, documents):
     assert found(decontamination.contamination(spark, documents([]), bench(spark, ITEMS))) == []
     assert found(decontamination.contamination(spark, documents(DOCS), bench(spark, []))) == expected(DOCS, [])
