@@ -35,6 +35,27 @@ WIDEST = 64
 
 _NO_PAIR = np.int64(1) << 40
 
+# Where the Unicode tables of Python and of its ``regex`` module differ from those of the tokenizers library.
+#: Code points that are letters or numbers in ``regex`` and neither in the library.
+NO_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F),
+    (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED),
+    (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Code points that have a lower case in the library only: first, last, and what the first becomes.
+LOWER_CASE = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
+_LOWERED = {code: code - first + target for first, last, target in LOWER_CASE for code in range(first, last + 1)}
+_RARE_LETTERS = "".join(f"\\U{first:08x}-\\U{last:08x}" for first, last in NO_LETTERS)
+_RARE = regex.compile(f"[{_RARE_LETTERS}" + "".join(f"\\U{first:08x}-\\U{last:08x}" for first, last, _ in LOWER_CASE) + "]")
+
 
 def _byte_characters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -46,8 +67,8 @@ def _byte_characters() -> list[str]:
 class Vocabulary:
     """A tokenizer file: lower-casing byte-level BPE with a suffix at word ends.
 
-    Letters, numbers and lower case are those of the installed Unicode tables;
-    the library may know characters of a later Unicode version.
+    Letters, numbers and lower case are the library's: those of the installed
+    Unicode tables but for the code points listed above.
     """
 
     def __init__(self, path: str):
@@ -71,8 +92,15 @@ class Vocabulary:
             self.tokens[number] = token
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(part["pattern"]["Regex"] for part in spec["pre_tokenizer"]["pretokenizers"] if part["type"] == "Split")
-        self.piece = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        pattern = pattern.replace(r"\s", r"\p{White_Space}")
+        self.piece = regex.compile(pattern)
+        # The same for texts with code points of which the tables differ.
+        for kind in "LN":
+            pattern = pattern.replace(rf"[\p{{{kind}}}]", rf"[\p{{{kind}}}--[{_RARE_LETTERS}]]")
+        pattern = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"[^\p{{White_Space}}[\p{{L}}\p{{N}}--[{_RARE_LETTERS}]]]")
+        self.rare_piece = regex.compile("(?V1)" + pattern)
         self.recent = Recent(CACHED_WORDS, self.learn)
+        self._long: list[str] = []
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
@@ -193,6 +221,7 @@ class Vocabulary:
                     yield from zip((words[i] for i in part.tolist()), self.merge_rows(ids, lengths[part]))
             low, leaves = leaves, leaves * 2
         for i in np.flatnonzero(lengths > WIDEST).tolist():
+            self._long.append(words[i])
             yield words[i], self.merge_long(symbols[starts[i] : ends[i]].tolist())
 
     # ------------------------------------------------------------ texts
@@ -201,17 +230,24 @@ class Vocabulary:
         if not text.isascii():
             # Sigma at a word's end has a lower case of its own in Python, not in the tokenizer.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _RARE.search(text):
+                text = text.translate(_LOWERED)
         return text.lower()
 
+    def _piece_of(self, text: str) -> regex.Pattern:
+        return self.rare_piece if not text.isascii() and _RARE.search(text) else self.piece
+
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """Lists of words; a special token is a word of its own, which no other word equals."""
         for segment in self.special_pattern.split(text) if "<|" in text else (text,):
             if segment in self.special:
                 yield [segment]
             elif len(segment) <= BATCH_CHARS:
-                yield self.piece.findall(self._normalised(segment))
+                text = self._normalised(segment)
+                yield self._piece_of(text).findall(text)
             else:
-                found = (match.group() for match in self.piece.finditer(self._normalised(segment)))
+                text = self._normalised(segment)
+                found = (match.group() for match in self._piece_of(text).finditer(text))
                 while part := list(islice(found, BATCH_CHARS // 8)):
                     yield part
 
@@ -234,7 +270,11 @@ class Vocabulary:
 
     def _encode_waiting(self, waiting: list[list[str]]) -> list[np.ndarray]:
         known = self.recent.know(chain.from_iterable(waiting))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in waiting]
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in waiting]
+        for word in self._long:  # what is remembered is bounded in bytes, as its words are short
+            known.pop(word, None)
+        self._long = []
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the file names no decoder."""
@@ -269,9 +309,25 @@ def list_batches(keys: pa.RecordBatch, lists: Iterator[np.ndarray], name: str) -
         yield made()
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def with_texts(vocab: Vocabulary, batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with the text of their ids, the column at that place, as ``decoded``; few rows at a time if they are long."""
+    lists = batch.column(at)
+    ends = lists.offsets.to_numpy()
+    start, upto = 0, 0
+    while start < len(batch):
+        while upto < len(batch) and (upto == start or ends[upto + 1] - ends[start] <= BATCH_IDS):
+            upto += 1
+        ids = lists.values.slice(ends[start], ends[upto] - ends[start]).to_pylist()
+        texts = [vocab.decode(ids[ends[i] - ends[start] : ends[i + 1] - ends[start]]) for i in range(start, upto)]
+        rows = batch.slice(start, upto - start)
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, "decoded"])
+        start = upto
+
+
+def encode(spark: SparkSession, docs: DataFrame, path: str, columns: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The given columns of docs and ``ids``, the token ids of the whole text (null: of an empty text).
 
+    With decoded, also that column, the text of the ids, made in the same step.
     Special tokens written in a text become their ids, as in the library.
     Rows are independent: repeated rows, nulls in other columns and an empty
     table pass through. ``path`` is the tokenizer file, present on all executors.
@@ -279,16 +335,18 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, columns: tuple[str,
     ship_package(spark)
     # The text has a name of its own, so that it may be among the columns.
     chosen = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text_to_encode"))
+    n = len(columns)
 
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
             for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
-                texts = part.column(len(columns)).to_pylist()
-                yield from list_batches(part.select(range(len(columns))), vocab.encode_batch(texts), "ids")
+                texts = part.column(n).to_pylist()
+                for made in list_batches(part.select(range(n)), vocab.encode_batch(texts), "ids"):
+                    yield from with_texts(vocab, made, n) if decoded else (made,)
 
     fields = chosen.schema.fields[:-1]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "ids array<int>"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "ids array<int>", *["decoded string"] * decoded])
     return chosen.mapInArrow(run, schema)
 
 
@@ -302,17 +360,7 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
         vocab = vocabulary(path)
         for batch in batches:
             for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
-                lists = part.column(n)
-                ends = lists.offsets.to_numpy()
-                start, upto = 0, 0
-                while start < len(part):  # few rows if they are long
-                    while upto < len(part) and (upto == start or ends[upto + 1] - ends[start] <= BATCH_IDS):
-                        upto += 1
-                    ids = lists.values.slice(ends[start], ends[upto] - ends[start]).to_pylist()
-                    texts = [vocab.decode(ids[ends[i] - ends[start] : ends[i + 1] - ends[start]]) for i in range(start, upto)]
-                    rows = part.slice(start, upto - start)
-                    yield pa.RecordBatch.from_arrays([*rows.columns[:n], pa.array(texts, pa.string())], names=[*rows.schema.names[:n], "decoded"])
-                    start = upto
+                yield from (made.select([*range(n), n + 1]) for made in with_texts(vocab, part, n))
 
     fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields], "decoded string"]
     return chosen.mapInArrow(run, ", ".join(fields))
@@ -323,8 +371,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    back = decode(spark, encode(spark, docs, path), path)
-    return back.select(
+    return encode(spark, docs, path, decoded=True).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -37,6 +37,23 @@ def test_same_as_the_library():
         assert vocab.decode(ids.tolist()) == decoded
 
 
+def test_every_code_point():
+    """Between letters, numbers, spaces and marks; the library's Unicode tables are later than Python's."""
+    vocab = bpe.Vocabulary(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}." for c in points[at : at + 20_000]]
+        wanted = LIBRARY.encode_batch(texts, add_special_tokens=False)
+        assert not [text for text, ids, other in zip(texts, vocab.encode_batch(texts), wanted, strict=True) if ids.tolist() != other.ids]
+
+
+def test_long_words_are_not_remembered():
+    vocab = bpe.Vocabulary(PATH)
+    texts = ["w" * 300 + " short " + "w" * 300, "w" * 300]
+    assert [ids.tolist() for ids in vocab.encode_batch(texts)] == [by_library(text)[0] for text in texts]
+    assert max(map(len, vocab.recent.held)) <= bpe.WIDEST
+
+
 def test_long_texts_go_in_parts(monkeypatch):
     monkeypatch.setattr(bpe, "BATCH_CHARS", 50)
     vocab = bpe.Vocabulary(PATH)
@@ -73,6 +90,8 @@ def test_tables(spark, documents):
     wanted = sorted([(i, *by_library(text)) for i, text in rows], key=repr)
     assert sorted([(r.doc_id, r.ids, r.decoded) for r in back.collect()], key=repr) == wanted
     assert bpe.decode(spark, bpe.encode(spark, documents([]), PATH), PATH).count() == 0
+    both = bpe.encode(spark, documents(rows), PATH, ("doc_id", "digest"), decoded=True)
+    assert both.columns == back.columns and sorted(map(repr, both.collect())) == sorted(map(repr, back.collect()))
 
 
 def test_query(spark):
