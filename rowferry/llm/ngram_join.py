@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rowferry.llm.components import components
 from rowferry.llm.scratch import discard, stored
 from rowferry.llm.signature_trees import spanning_links
-from rowferry.llm.words import mixed, shingles, slices, word_lists
+from rowferry.llm.words import give_back, mixed, shingles, slices, word_lists
 from rowferry.plans.session import ship_package
 
 #: Words of a shingle, and the least similarity in per cent.
@@ -84,6 +84,8 @@ def shingle_sets(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     held.clear()
                     gathered = 0
         yield from common()
+        held.clear()
+        give_back()
 
     schema = "doc_id bigint, n bigint, set_id bigint, check bigint, shingle bigint, count bigint"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
@@ -169,6 +171,8 @@ def shared_shingles(spark: SparkSession, docs: DataFrame, ranges: int, common: n
                     held, gathered = {}, 0
         if held:
             yield from send()
+        held = {}
+        give_back()
 
     def count(table: pa.Table) -> pa.Table:
         rows = []
@@ -197,6 +201,7 @@ def shared_shingles(spark: SparkSession, docs: DataFrame, ranges: int, common: n
                 at = order[edges[p] : edges[p + 1]]
                 if len(at):
                     rows.append(_counted(p, ids[at], n[at], values[at], counts[at]))
+        give_back()
         return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("blob", pa.binary())]))
 
     blobs = docs.select("text").mapInArrow(gather, "range int, kind int, blob binary")
@@ -306,6 +311,7 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, ranges: int, co
             same = pa.array(_set_ids(sets)[0] == np.array(batch.column(1).to_pylist(), np.int64))  # rows may repeat a doc_id
             made = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "block", "pieces", "piece", "shingles"])
             yield made.filter(same)
+        give_back()
 
     members = texts.mapInArrow(shingle, "set_id bigint, block bigint, pieces bigint, piece int, shingles binary")
     members, _ = stored(spark, members, "block-members")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes hashed at a time; a single longer word is taken whole.
 CHUNK = 1 << 19
@@ -122,3 +124,11 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 def slices(batch, rows: int = ROWS):
     """An Arrow batch in parts of few rows, as its texts take more room as Python objects."""
     return (batch.slice(at, rows) for at in range(0, len(batch), rows))
+
+
+def give_back() -> None:
+    """Return what a step no longer uses to the system, as its worker stays for steps of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has it
+    if trim is not None:
+        trim(0)
