@@ -143,6 +143,7 @@ ORACLES: dict[str, str] = {
     "scan_in_schema": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey",
     "scan_query": _REVENUE.format(least=50000),
     "scan_csv": "SELECT * FROM documents",
+    "scan_csv_split": "SELECT * FROM documents",
     "scan_json": "SELECT * FROM events",
     "scan_json_tabular": "SELECT * FROM orders",
     "scan_workbooks": "SELECT * FROM customer",

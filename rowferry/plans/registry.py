@@ -16,7 +16,7 @@ from rowferry.operators.copying import copy, read_endpoint
 from rowferry.plans import derived
 from rowferry.plans.derived import load
 from rowferry.plans.session import scratch_path, ship_package
-from rowferry.sources import tables
+from rowferry.sources import csv_files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,15 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through_files(spark, sf_dir, "documents", "csv")
 
 
+@query
+def scan_csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose fields hold line breaks and quotes, in as many splits as their size asks for."""
+    df = load(spark, sf_dir, "documents")
+    folder = scratch_path(spark, "csv-split")
+    csv_files.write_csv(df, folder)
+    return csv_files.read_csv(spark, folder, schema=df.schema)
+
+
 @query
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _through_files(spark, sf_dir, "events", "json")

@@ -7,20 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.texts import field_column, flat_text
+from rowferry.plans.session import ship_package
+from rowferry.sources.csv_splits import find_breaks, read_split_records
 
 _QUOTED_EMPTY = '""'
 
 
-def has_multiline_fields(spark: SparkSession, path: str) -> bool:
-    """Whether a line break lies within quotes somewhere.
-
-    A file has such a break exactly if one of its lines holds an odd number of
-    quotes. The lines are scanned in parallel and the scan ends at the first hit.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -34,25 +26,23 @@ def read_csv(
     fails the query. An empty field is '' or, with ``empty_as="null"``, null; in
     a column that ``schema`` makes no text it is null, and a value that does not
     fit the type fails. A blank line is no record, but a line of ``""`` is one,
-    with one empty field. Files whose fields hold line breaks cannot be split
-    into several tasks; ``multiline`` says whether to expect such fields, and by
-    default the files are looked through first, so that all others are read in
-    parallel splits.
+    with one empty field.
+
+    By default a first scan counts quotes, and fields with line breaks are read
+    in parallel splits as all others are; a quote within a field that is not
+    quoted then fails if its line has an odd number of quotes. ``multiline=False``
+    leaves the scan out where no field holds a line break, and with
+    ``multiline=True`` each file is one task, without a scan.
     """
     if empty_as not in ("empty", "null"):
         raise ValueError(f"empty_as must be 'empty' or 'null', not {empty_as!r}")
-    if multiline is None:
-        multiline = has_multiline_fields(spark, path)
-    df = spark.read.options(
-        header=True,
-        inferSchema=False,
-        enforceSchema=False,
-        multiLine=multiline,
-        escape='"',
-        mode="FAILFAST",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    ).csv(path)
+    breaks = find_breaks(spark, path) if multiline is None else None
+    broken = breaks.broken if breaks else multiline
+    fields = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df = spark.read.options(header=True, inferSchema=False, enforceSchema=False, multiLine=broken, mode="FAILFAST", **fields).csv(path)
+    if breaks and broken and df.columns:
+        ship_package(spark)
+        df = read_split_records(spark, path, breaks.crossed, df.columns, fields)
     if schema is None:
         return df.na.fill("") if empty_as == "empty" else df.select(*[F.nullif(field_column(f), F.lit("")).alias(f.name) for f in df.schema])
     if len(schema) != len(df.columns):

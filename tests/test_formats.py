@@ -1,7 +1,9 @@
 """Round trips and traps of the four file formats."""
 
+import csv
 import io
 import json
+import random
 import zipfile
 from pathlib import Path
 
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.sources import csv_files, json_files, json_tabular, sheet_xml, workbooks
+from rowferry.sources import csv_files, csv_splits, json_files, json_tabular, sheet_xml, workbooks
 
 SCHEMA = T.StructType(
     [
@@ -82,11 +84,59 @@ def test_csv_empty_fields(spark, tmp_path):
 def test_csv_line_breaks_are_found(spark, tmp_path):
     plain = write_files(tmp_path / "plain", a_csv='a,b\n"x","y ""z"""\n')
     broken = write_files(tmp_path / "broken", a_csv='a,b\n"x\n\ny",z\n', b_csv="a,b\n1,2\n")
-    assert not csv_files.has_multiline_fields(spark, plain)
-    assert csv_files.has_multiline_fields(spark, broken)
+    assert not csv_splits.find_breaks(spark, plain).broken
+    assert csv_splits.find_breaks(spark, broken) == csv_splits.Breaks(True, False)
     assert sorted(map(tuple, csv_files.read_csv(spark, broken).collect())) == [("1", "2"), ("x\n\ny", "z")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few hundred bytes."""
+    values = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_csv_line_breaks_in_splits(spark, tmp_path, small_splits):
+    """Records within a split, across two of them and over many; the same rows as with a task per file."""
+    draw = random.Random(3)
+    words = ['he said ""no""', "a,b", "line\nbreak", "crlf\r\nwithin", "é\n\n\n", '""', "plain", "tail\r"]
+    for name, ends in (("unix", "\n"), ("windows", "\r\n")):
+        files = {}
+        for f in range(3):
+            rows = [f'{f}{i},"{" ".join(draw.choices(words, k=draw.randrange(1, 9)))}",{draw.choice(["x", "", " y "])}' for i in range(60)]
+            rows[20] = f'{f}20,"{"long field " + chr(10) * 3}{"no break here " * 90}{chr(10)}",z'
+            rows[40] = f'{f}40,"{("many lines, one field" + chr(10)) * 70}",z'
+            files[f"f{f}_csv"] = ends.join(['id,"the\ntext",end', *rows, "", ""])
+        path = write_files(tmp_path / name, **files)
+        assert csv_splits.find_breaks(spark, path) == csv_splits.Breaks(True, True)
+        found = csv_files.read_csv(spark, path)
+        assert found.rdd.getNumPartitions() > 20
+        wanted = [tuple(row) for text in files.values() for row in list(csv.reader(io.StringIO(text, newline="")))[1:] if row]
+        assert found.columns == ["id", "the\ntext", "end"]
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+        assert found.count() == len(wanted) == 180
+
+
+@pytest.mark.parametrize(
+    ("text", "message"),
+    [('a,b\n5" x,y\n6" z,w\n', "within a field that is not quoted"), ('a,b\n"x\ny",1\n2,"no end\n', "does not end"), ('a,b\n"x\ny",1,2\n', "MALFORMED|malformed")],
+)
+def test_csv_misquoted_fields_fail(spark, tmp_path, text, message):
+    with pytest.raises(Exception, match=message):
+        csv_files.read_csv(spark, write_files(tmp_path / "in", a_csv=text)).collect()
+
+
+def test_csv_other_header_with_line_breaks_fails(spark, tmp_path):
+    path = write_files(tmp_path / "in", a_csv='a,b\n"1\n",2\n', b_csv="b,a\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        csv_files.read_csv(spark, path).collect()
+
+
 @pytest.mark.parametrize("bad", ["1\n", "1,2,3\n"])
 def test_csv_ragged_rows_fail(spark, tmp_path, bad):
     path = write_files(tmp_path / "in", a_csv="a,b\n1,2\n" + bad)
