@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowferry.operators.versions import change_table
+
 
 class NotAllowed(LookupError):
     """The named row does not exist or the caller may not see it."""
@@ -135,3 +137,22 @@ def update_where(df: DataFrame, column: str, condition: Column, value: Column) -
     """A table with one column changed where the condition holds."""
     kind = df.schema[column].dataType
     return df.withColumn(column, F.when(condition, value.cast(kind)).otherwise(F.col(column)))
+
+
+def revoke_from(table: str, doomed: DataFrame, keys: list[str], gate: DataFrame | None = None) -> bool:
+    """Remove the rows whose keys are named from a catalog table; whether the gate was open.
+
+    The table's next version is published at once, or the old one stays; see ``change_table``.
+    """
+    if gate is not None and gate.isEmpty():
+        return False
+    change_table(doomed.sparkSession, table, lambda rows: revoke(rows, doomed, keys))
+    return True
+
+
+def update_table(table: str, column: str, condition: Column, value: Column, gate: DataFrame) -> bool:
+    """Change one column of a catalog table where the condition holds; whether the gate was open."""
+    if gate.isEmpty():
+        return False
+    change_table(gate.sparkSession, table, lambda rows: update_where(rows, column, condition, value))
+    return True

@@ -185,6 +185,15 @@ ORACLES: dict[str, str] = {
         WHERE ds_id NOT IN (SELECT id FROM sources WHERE vendor_id = '3')""",
     "update_where": """SELECT c_custkey, c_name, c_nationkey, c_acctbal,
         CASE WHEN c_acctbal < 0 THEN 'OVERDRAWN' ELSE c_mktsegment END AS c_mktsegment FROM customer""",
+    "revoke_published": f"""{_CATALOG} SELECT * FROM grants
+        WHERE ds_id NOT IN (SELECT id FROM sources WHERE vendor_id = '3')""",
+    "update_published": """SELECT c_custkey, c_name, c_nationkey, greatest(c_acctbal, 0) AS c_acctbal,
+        CASE WHEN c_acctbal < 0 THEN 'OVERDRAWN' ELSE c_mktsegment END AS c_mktsegment FROM customer""",
+    "insert_checked": f"{_CATALOG} SELECT * FROM grants",
+    "insert_refused": f"""{_CATALOG} SELECT 'one_grant' AS rule, count(*) AS n_rows FROM grants WHERE user_id % 6 = 0
+        UNION ALL SELECT 'known_user', count(*) FROM grants WHERE user_id % 5 = 0
+        UNION ALL SELECT 'source_given', count(*) FROM grants WHERE user_id % 7 = 0
+        UNION ALL SELECT 'rows after', count(*) FROM grants WHERE user_id % 2 = 0""",
     "audit_unique": """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
     "audit_foreign_key": """SELECT o_custkey, count(*) AS n_rows FROM orders

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rowferry.endpoint import Endpoint
 from rowferry.functions import sqltypes, statements, texts
-from rowferry.operators import access, audits, dictionary, grouping, results
+from rowferry.operators import access, audits, constraints, dictionary, grouping, results, versions
 from rowferry.operators.copying import copy, read_endpoint
 from rowferry.plans import derived
 from rowferry.plans.derived import load
@@ -286,6 +286,79 @@ def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.update_where(load(spark, sf_dir, "customer"), "c_mktsegment", F.col("c_acctbal") < 0, F.lit("OVERDRAWN"))
 
 
+def _version_and_forget(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of a table's present version; its name leaves the catalog, its files stay."""
+    location = versions.location_of(spark, table)
+    schema = spark.table(table).schema
+    spark.sql(f"DROP TABLE {table}")
+    return spark.read.schema(schema).parquet(location)
+
+
+@query
+def revoke_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after one revoke that is allowed and one that is not."""
+    users, grants, sources, _ = derived.catalog(spark, sf_dir)
+    made = _new_table(spark, "grants_copy")
+    tables.create_table(grants, made)
+    for principal, vendor in ((ADMIN, "3"), (SOMEONE, "4")):
+        doomed = sources.where(F.col("vendor_id") == vendor).select(F.col("id").alias("ds_id"))
+        access.revoke_from(made.table, doomed, ["ds_id"], access.admin_gate(users, principal))
+    return _version_and_forget(spark, made.table)
+
+
+@query
+def update_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after two updates, each a version of its own."""
+    gate = access.admin_gate(derived.users(spark, sf_dir), ADMIN)
+    made = _new_table(spark, "customer_copy")
+    tables.create_table(load(spark, sf_dir, "customer"), made)
+    access.update_table(made.table, "c_mktsegment", F.col("c_acctbal") < 0, F.lit("OVERDRAWN"), gate)
+    access.update_table(made.table, "c_acctbal", F.col("c_mktsegment") == "OVERDRAWN", F.lit(0), gate)
+    return _version_and_forget(spark, made.table)
+
+
+def _half_of_grants(spark: SparkSession, sf_dir: str) -> tuple[Endpoint, DataFrame, list[constraints.Rule]]:
+    """A table with the grants of every other user, all grants, and the rules that hold for them."""
+    users, grants, sources, _ = derived.catalog(spark, sf_dir)
+    made = _new_table(spark, "grants_half")
+    tables.create_table(grants.where("user_id % 2 = 0"), made)
+    users.createOrReplaceTempView("known_users")
+    sources.createOrReplaceTempView("known_sources")
+    rules = [
+        constraints.Rule("one_grant", "unique", ("user_id", "ds_id")),
+        constraints.Rule("known_user", "foreign_key", ("user_id",), "known_users", ("id",)),
+        constraints.Rule("known_source", "foreign_key", ("ds_id",), "known_sources", ("id",)),
+        constraints.Rule("source_given", "not_null", ("ds_id",)),
+        constraints.Rule("user_counts", "check", condition="user_id >= 0"),
+    ]
+    return made, grants, rules
+
+
+@query
+def insert_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after a batch that keeps all rules."""
+    made, grants, rules = _half_of_grants(spark, sf_dir)
+    constraints.checked_append(spark, made.table, grants.where("user_id % 2 <> 0"), rules)
+    return _version_and_forget(spark, made.table)
+
+
+@query
+def insert_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refused batch breaks, by rule, and the rows of the table after it."""
+    made, grants, rules = _half_of_grants(spark, sf_dir)
+    known, unknown, none = grants.where("user_id % 3 = 0"), grants.where("user_id % 5 = 0"), grants.where("user_id % 7 = 0")
+    batch = known.unionByName(unknown.withColumn("user_id", F.col("user_id") + 100_000_000))
+    batch = batch.unionByName(none.withColumn("ds_id", F.lit(None).cast(grants.schema["ds_id"].dataType)))
+    try:
+        constraints.checked_append(spark, made.table, batch, rules)
+        broken = {}
+    except constraints.ConstraintViolation as refused:
+        broken = refused.broken
+    report = spark.createDataFrame(list(broken.items()), "rule string, n_rows bigint")
+    after = _version_and_forget(spark, made.table)
+    return report.unionByName(after.agg(F.lit("rows after").alias("rule"), F.count("*").alias("n_rows")))
+
+
 @query
 def audit_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.audit_unique(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
