@@ -64,6 +64,15 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    """Whether no code point is above 255: a copy, where a search for rare ones looks at each."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Vocabulary:
     """A tokenizer file: lower-casing byte-level BPE with a suffix at word ends.
 
@@ -90,6 +99,7 @@ class Vocabulary:
         self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, number in chain(vocab.items(), self.special.items()):
             self.tokens[number] = token
+        self.token_array = np.array(self.tokens, dtype=object)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(part["pattern"]["Regex"] for part in spec["pre_tokenizer"]["pretokenizers"] if part["type"] == "Split")
         pattern = pattern.replace(r"\s", r"\p{White_Space}")
@@ -226,16 +236,15 @@ class Vocabulary:
 
     # ------------------------------------------------------------ texts
 
-    def _normalised(self, text: str) -> str:
+    def _normalised(self, text: str) -> tuple[str, regex.Pattern]:
+        """The text as words are cut from it, and the pattern that cuts them."""
+        piece = self.piece
         if not text.isascii():
             # Sigma at a word's end has a lower case of its own in Python, not in the tokenizer.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if _RARE.search(text):
-                text = text.translate(_LOWERED)
-        return text.lower()
-
-    def _piece_of(self, text: str) -> regex.Pattern:
-        return self.rare_piece if not text.isascii() and _RARE.search(text) else self.piece
+            if not _latin(text) and _RARE.search(text):
+                text, piece = text.translate(_LOWERED), self.rare_piece
+        return text.lower(), piece
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """Lists of words; a special token is a word of its own, which no other word equals."""
@@ -243,11 +252,11 @@ class Vocabulary:
             if segment in self.special:
                 yield [segment]
             elif len(segment) <= BATCH_CHARS:
-                text = self._normalised(segment)
-                yield self._piece_of(text).findall(text)
+                text, piece = self._normalised(segment)
+                yield piece.findall(text)
             else:
-                text = self._normalised(segment)
-                found = (match.group() for match in self._piece_of(text).finditer(text))
+                text, piece = self._normalised(segment)
+                found = (match.group() for match in piece.finditer(text))
                 while part := list(islice(found, BATCH_CHARS // 8)):
                     yield part
 
@@ -276,9 +285,9 @@ class Vocabulary:
         self._long = []
         return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Tokens joined by spaces: the file names no decoder."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(self.token_array[ids].tolist()) if len(ids) else ""
 
 
 @lru_cache(maxsize=4)
@@ -317,7 +326,7 @@ def with_texts(vocab: Vocabulary, batch: pa.RecordBatch, at: int) -> Iterator[pa
     while start < len(batch):
         while upto < len(batch) and (upto == start or ends[upto + 1] - ends[start] <= BATCH_IDS):
             upto += 1
-        ids = lists.values.slice(ends[start], ends[upto] - ends[start]).to_pylist()
+        ids = lists.values.slice(ends[start], ends[upto] - ends[start]).to_numpy(zero_copy_only=False)
         texts = [vocab.decode(ids[ends[i] - ends[start] : ends[i + 1] - ends[start]]) for i in range(start, upto)]
         rows = batch.slice(start, upto - start)
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, "decoded"])
