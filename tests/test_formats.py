@@ -243,6 +243,69 @@ def test_tabular_documents_are_bounded_in_bytes(spark, tmp_path):
     assert sorted(json_tabular.read_json_tabular(spark, str(tmp_path / "b")).collect()) == sorted(df.collect())
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_long_tabular_documents_are_read_in_splits(spark, mixed, tmp_path, small_splits):
+    path = str(tmp_path / "out")
+    df = spark.range(0, 900, 1, 1).select(
+        "id", F.when(F.col("id") % 3 > 0, F.repeat(F.lit('],[ "é\\ \n'), (F.col("id") % 9).cast("int"))).alias("t"), F.col("id").cast("decimal(18,2)").alias("d")
+    )
+    json_tabular.write_json_tabular(df, path)
+    (file,) = Path(path).glob("part-*")
+    back = json_tabular.read_json_tabular(spark, path)
+    assert sorted(back.collect()) == sorted(df.collect()) and back.schema["d"].dataType == T.DecimalType(18, 2)
+    busy = back.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert busy >= file.stat().st_size // 4096 > 8
+    # A full document that ends in blank lines, and short ones beside it.
+    json_tabular.write_json_tabular(df, path, "append", rows_per_document=400, bytes_per_document=9_000)
+    assert sorted(json_tabular.read_json_tabular(spark, path).collect()) == sorted(df.union(df).collect())
+
+
+def test_long_tabular_documents_of_others(spark, tmp_path, small_splits):
+    rows = [[i, "x" * (i % 50), bool(i % 2), i / 4] for i in range(600)]
+    document = {"fields": ["lot", "crop", "organic", "tonnes"], "types": ["integer", "string", "boolean", "number"], "rows": rows}
+    head = json.dumps({**document, "rows": []}, separators=(",", ":"))[:-2]
+    texts = {
+        "one_line": json.dumps(document),
+        "indented": json.dumps(document, indent=1),
+        "rows_first": json.dumps(dict(reversed(document.items()))),
+        "several_a_line": head + "\n" + ",\n".join(json.dumps(row) for row in rows) + "\n]}\n",
+        "a_row_a_line": head + "\n" + "\n,".join(json.dumps(row) for row in rows) + "\n]}",
+    }
+    for name, text in texts.items():
+        path = write_files(tmp_path / name, a_json=text, b_json=SAMPLE)
+        found = json_tabular.read_json_tabular(spark, path)
+        expected = [*map(tuple, rows), (41, "barley", False, 12.25), (42, "flax", True, 3.5)]
+        assert sorted(map(tuple, found.collect())) == sorted(expected), name
+    own = texts["a_row_a_line"]
+    bad = {
+        "a row does not have 4 values": own.replace(',[300, "', ',[1, 300, "'),
+        "more than a row": own.replace("\n,[300", ",[300"),
+        "more than a row ": own.replace(',[300, "', ',[1,"a",true,2]],"other":[[300, "'),
+        "MALFORMED|malformed|Malformed": own.replace(',[300, "', ',[300 "'),
+        "malformed|MALFORMED|Malformed": own.replace("\n,[300", "\n[300"),
+        "different fields or types": own.replace('"crop"', '"plant"'),
+        "MALFORMED|Malformed|malformed": own.removesuffix("\n]}"),
+    }
+    for i, (message, text) in enumerate(bad.items()):
+        path = write_files(tmp_path / f"bad{i}", a_json=SAMPLE, b_json=text)
+        with pytest.raises(Exception, match=message.strip()):
+            json_tabular.read_json_tabular(spark, path).collect()
+
+
+def test_short_tabular_documents_take_no_scan_by_lines(spark, tmp_path):
+    path = write_files(tmp_path / "in", a_json=SAMPLE)
+    plan = json_tabular.read_json_tabular(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 @pytest.mark.parametrize("kind", ["no partitions", "empty partitions", "local"])
 def test_tabular_without_rows(spark, tmp_path, kind):
     path = str(tmp_path / "out")
