@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.functions.sqltypes import quote_identifier
-from rowferry.operators.numbering import ROWS_PER_RANGE, number_rows
+from rowferry.operators.numbering import number_rows
 
 
 def group_options(
-    df: DataFrame,
-    group: str,
-    value: str,
-    label: str,
-    order: str,
-    rows_per_range: int = ROWS_PER_RANGE,
+    df: DataFrame, group: str, value: str, label: str, order: str, ranges: int | None = None
 ) -> DataFrame:
     """Options in their order within their group; null and '' are the group ''.
 
@@ -29,9 +24,8 @@ def group_options(
         F.col(value).alias("value"),
         F.col(label).alias("label"),
     )
-    firsts = options.groupBy("group").agg(F.min("source_order").alias("group_order"))
-    numbered = number_rows(options, ["source_order"], ["group"], "place", rows_per_range)
-    return numbered.join(firsts, "group").select("group", "group_order", "place", "value", "label")
+    numbered = number_rows(options, ["source_order"], ["group"], "place", ranges, least="group_order")
+    return numbered.select("group", "group_order", "place", "value", "label")
 
 
 def concat_lines(df: DataFrame, key: list[str], order: str, text: str, separator: str = "") -> DataFrame:

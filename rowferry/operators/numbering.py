@@ -1,149 +1,60 @@
 """Row numbers over a whole table without bringing it to one task.
 
 A window without a partition column sorts the entire table in one task, and a
-window over a hot group does so with that group. Here the order is cut into
-ranges, the rows of each range are counted, and a row's number is its place
-within its range plus the rows before that range. A hot group is cut into
+window over a hot group does so with that group. Here Spark deals the rows out
+by ranges of the order, sorts each range and writes it once, each row with its
+range and its place there. A row's number is that place plus the rows of all
+ranges before, a small table of one row a range. A hot group lies in several
 ranges like any other stretch of the order.
 
-The cuts are plain values taken from a sample of the keys, so that every task,
-a retried one too, puts a row into the same range. How good the sample is
-changes the balance only, never a number.
+As ranges and places are written with the rows, a task that is run again later
+finds them as they were. Columns must be of types that Parquet holds.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowferry.functions.texts import quoted_name
+from rowferry.plans.session import scratch_path
 
-ROWS_PER_RANGE = 50_000
-MAX_RANGES = 10_000
-_SAMPLES_PER_RANGE = 20
-_RANGE, _KEY = "__range", "__key"
-
-# Without these, times are written to the millisecond.
-_EXACT = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
+RANGE, PLACE, BEFORE = "__range", "__place", "__before"
 
 
-def _columns(names: list[str]) -> list[Column]:
+def columns_of(names: list[str]) -> list[Column]:
     return [F.col(quoted_name(name)) for name in names]
 
 
-def _struct(names: list[str]) -> Column:
-    return F.struct(*[column.alias(name) for column, name in zip(_columns(names), names, strict=True)])
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder, whose size Spark knows when it plans a join."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@dataclass(frozen=True)
-class Ranges:
-    """Cuts of an order: range 0 lies before the first cut, range i starts at the i-th.
+def write_ranges(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """The rows with their range of the order and their place in it, from 0.
 
-    The cuts are JSON texts, so that a plan carries them as one constant. They
-    rise as the values that are read back from the texts: bisection, bounds and
-    groups all compare with those, to the microsecond.
+    There are as many ranges as given, else as Spark makes: those of its setting
+    for shuffles, small neighbours put together.
     """
+    columns = columns_of(keys)
+    dealt = df.repartitionByRange(ranges, *columns) if ranges else df.repartitionByRange(*columns)
+    # The lower 33 bits count a task's rows.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return _written(dealt.sortWithinPartitions(*columns).withColumns({RANGE: F.spark_partition_id(), PLACE: place}), "ranges")
 
-    schema: T.StructType
-    cuts: list[str]
-
-    @property
-    def last(self) -> int:
-        return len(self.cuts)
-
-    def constant(self) -> Column:
-        """All cuts as a list of key structs; Spark folds it before the query runs."""
-        return F.from_json(F.lit(f"[{','.join(self.cuts)}]"), T.ArrayType(self.schema), _EXACT)
-
-    def cut(self, number: Column | int) -> Column:
-        """The key at the start of a range, null for range 0."""
-        return F.get(self.constant(), number - 1 if isinstance(number, Column) else F.lit(number - 1))
-
-    def key(self) -> Column:
-        """A row's key as a struct that compares with a cut."""
-        return _struct(self.schema.fieldNames())
-
-    def place(self, df: DataFrame) -> DataFrame:
-        """Add each row's range: the number of cuts at or before its key.
-
-        A bisection, one projection a step, all of them in one stage of
-        generated code. A step beyond the last cut compares with null.
-        """
-        if not self.cuts:
-            return df.withColumn(_RANGE, F.lit(0))
-        cuts, place = self.constant(), F.col(_RANGE)
-        df = df.withColumns({_KEY: self.key(), _RANGE: F.lit(0)})
-        for bit in reversed(range(self.last.bit_length())):
-            step = 1 << bit
-            reached = F.get(cuts, place + (step - 1)) <= F.col(_KEY)
-            df = df.withColumn(_RANGE, F.when(reached, place + step).otherwise(place))
-        return df.drop(_KEY)
-
-    def between(self, df: DataFrame, first: int, last: int) -> DataFrame:
-        """The rows of the ranges from first to last."""
-        return self.place(df).where(F.col(_RANGE).between(first, last)).drop(_RANGE)
-
-
-def find_ranges(df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE) -> Ranges:
-    """Cut an order into ranges of about equal size, by a sample of its keys."""
-    schema = T.StructType([T.StructField(name, df.schema[name].dataType) for name in keys])
-    rows = df.count()
-    wanted = min(-(-rows // rows_per_range), MAX_RANGES)
-    if wanted < 2:
-        return Ranges(schema, [])
-    fraction = min(1.0, wanted * _SAMPLES_PER_RANGE / rows)
-    # The sample's size is bounded by the number of ranges, and Spark's own order sorts it.
-    sampled = df.select(_struct(keys).alias("key")).sample(fraction=fraction, seed=7)
-    texts = sampled.select(F.to_json("key", _EXACT).alias("text")).distinct()
-    read_back = texts.select("text", F.from_json("text", schema, _EXACT).alias("key"))
-    found = [row.text for row in read_back.groupBy("key").agg(F.min("text").alias("text")).orderBy("key").collect()]
-    picked = sorted({len(found) * i // wanted for i in range(1, wanted)})
-    return Ranges(schema, [found[i] for i in picked if i < len(found)])
-
-
-def _counts(df: DataFrame, ranges: Ranges, counted: Column) -> list[int]:
-    """For each range but the last, the rows for which a condition holds: one number a range."""
-    placed = ranges.place(df)
-    counts = dict(placed.groupBy(_RANGE).agg(F.count_if(counted)).collect())
-    return [counts.get(i, 0) for i in range(ranges.last)]
-
-
-def rows_before(df: DataFrame, ranges: Ranges) -> list[int]:
-    """For each range, the rows in all ranges before it."""
-    return list(accumulate(_counts(df, ranges, F.lit(True)), initial=0))
-
-
-def number_ranges(df: DataFrame, ranges: Ranges, before: list[int], name: str) -> DataFrame:
-    """Number the rows from 1 in the order of known ranges, with the rows before each of them."""
-    window = Window.partitionBy(_RANGE).orderBy(*_columns(ranges.schema.fieldNames()))
-    earlier = F.get(F.from_json(F.lit(f"{before}"), "array<bigint>"), F.col(_RANGE))
-    return ranges.place(df).withColumn(name, F.row_number().over(window).cast("long") + earlier).drop(_RANGE)
-
-
-def _group_rows_before(df: DataFrame, ranges: Ranges, group_by: list[str]) -> list[int]:
-    """For each range, the rows in earlier ranges of the group that its first key lies in."""
-    place = F.col(_RANGE)
-    leading = _counts(df, ranges, _struct(group_by).eqNullSafe(_group(ranges.cut(place + 1), group_by)))
-    pairs = F.transform(
-        F.array(*[F.lit(i) for i in range(1, ranges.last)]).cast("array<int>"),
-        lambda i: _group(ranges.cut(i), group_by).eqNullSafe(_group(ranges.cut(i + 1), group_by)),
-    )
-    continues = [False, *df.sparkSession.range(1).select(pairs).first()[0]]
-    before = [0]
-    for rows, same_group in zip(leading, continues, strict=True):
-        before.append(rows + (before[-1] if same_group else 0))
-    return before
 
+def with_rows_before(placed: DataFrame) -> DataFrame:
+    """Add the rows of all ranges before a row's own.
 
-def _group(key: Column, group_by: list[str]) -> Column:
-    return F.struct(*[key[name].alias(name) for name in group_by])
+    The counts are a row of a few bytes a range, which a shuffle of megabytes
+    stands behind: so they join as a broadcast.
+    """
+    counts = placed.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.join(F.broadcast(counts.select(RANGE, F.coalesce(earlier, F.lit(0)).alias(BEFORE))), RANGE)
 
 
 def number_rows(
@@ -151,26 +62,33 @@ def number_rows(
     order_by: list[str],
     group_by: list[str] | None = None,
     name: str = "row_number",
-    rows_per_range: int = ROWS_PER_RANGE,
+    ranges: int | None = None,
+    least: str | None = None,
 ) -> DataFrame:
     """Number the rows from 1 in an order, over all rows or within each group.
 
-    The group and order columns together must be unique. The table is gone
-    through for its size, a sample, the ranges' sizes (these read the keys only)
-    and the result: a costly plan had better be written or checkpointed first.
+    The group and order columns together must be unique. ``least`` names one
+    more column: the least value of the first order column in the row's group.
+    The rows are shuffled and written once; the rest reads that.
     """
     group_by = group_by or []
-    ranges = find_ranges(df, [*group_by, *order_by], rows_per_range)
-    placed = ranges.place(df)
-    window = Window.partitionBy(_RANGE, *_columns(group_by)).orderBy(*_columns(order_by))
-    number = F.row_number().over(window).cast("long")
-    if ranges.cuts:
-        before = _group_rows_before(df, ranges, group_by) if group_by else rows_before(df, ranges)
-        constant = F.from_json(F.lit(f"{before}"), "array<bigint>")
-        earlier = F.get(constant, F.col(_RANGE))
-        if group_by:
-            # A range starts within at most one group that began before it.
-            own = _struct(group_by).eqNullSafe(_group(ranges.cut(F.col(_RANGE)), group_by))
-            earlier = F.when((F.col(_RANGE) > 0) & own, earlier).otherwise(0)
-        number = number + earlier
-    return placed.withColumn(name, number).drop(_RANGE)
+    placed = write_ranges(df, [*group_by, *order_by], ranges)
+    if not group_by:
+        return with_rows_before(placed).withColumn(name, F.col(PLACE) + F.col(BEFORE) + 1).drop(RANGE, PLACE, BEFORE)
+    # A row for each group and range that it lies in: a group has as many as ranges, at most.
+    groups = {f"__group{i}": column for i, column in enumerate(columns_of(group_by))}
+    heads = placed.groupBy(F.col(RANGE).alias("__in"), *[column.alias(key) for key, column in groups.items()]).agg(
+        F.min(PLACE).alias("__first"), F.count(F.lit(1)).alias("n"), F.min(*columns_of(order_by[:1])).alias("__least")
+    )
+    whole = Window.partitionBy(*groups)
+    earlier = F.sum("n").over(whole.orderBy("__in").rowsBetween(Window.unboundedPreceding, -1))
+    # What a place has to have added: 1, and the group's rows in earlier ranges, less the place of its first row in this one.
+    shift = F.coalesce(earlier, F.lit(0)) - F.col("__first") + 1
+    heads = _written(heads.select("__in", *groups, shift.alias("__shift"), F.min("__least").over(whole).alias("__least")), "group-starts")
+    same = F.col(RANGE) == F.col("__in")
+    for key, column in groups.items():
+        same = same & column.eqNullSafe(F.col(key))
+    found = placed.join(heads, same).withColumn(name, F.col(PLACE) + F.col("__shift"))
+    if least:
+        found = found.withColumn(least, F.col("__least"))
+    return found.drop(RANGE, PLACE, "__in", "__shift", "__least", *groups)

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from rowferry.functions.statements import clean_statement, statement_command, statement_type
 from rowferry.functions.texts import cell_text, field_column, json_value, quoted_name, shown_length
-from rowferry.operators.numbering import ROWS_PER_RANGE, find_ranges, number_ranges, number_rows, rows_before
+from rowferry.operators.numbering import number_rows
+from rowferry.operators.pages import STRETCH, build_index
 from rowferry.sources import tables
 
 # The default cap of a result, the rows of a page, the sample's rows and the widths' measures.
@@ -24,9 +25,6 @@ CELL_PADDING = 12.0
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
-# Rows that one top-k may hold.
-TOP_ROWS = 5_000
-
 
 # ---------------------------------------------------------------- bounded results
 
@@ -117,45 +115,17 @@ def page_count(rows: Column, size: int = PAGE_SIZE) -> Column:
 def page(df: DataFrame, order_by: list[str], number: int, size: int = PAGE_SIZE) -> DataFrame:
     """One page, counted from 0, of a table in an order whose columns are unique together.
 
-    An early page is a top-k. For a late one the order is cut into ranges and
-    only those that the page touches are read on, cut again while that leaves
-    rows out. A page that no top-k may hold, or that touches all ranges, is
-    numbered within them; the rows are the same either way.
+    An early page is a top-k. For a late one an index of the order is built
+    from its columns; ``pages.table_index`` keeps that for further pages.
     """
-    return _stretch(df, order_by, number * size, size)
-
-
-def _stretch(df: DataFrame, order_by: list[str], start: int, size: int) -> DataFrame:
-    """The rows from place ``start`` on, at most ``size`` of them."""
-    columns = [F.col(quoted_name(name)) for name in order_by]
-    ranges = find_ranges(df, order_by, rows_per_range=TOP_ROWS) if start + size > TOP_ROWS else None
-    if ranges is None or not ranges.cuts:
-        return df.orderBy(*columns).offset(start).limit(size)
-    before = rows_before(df, ranges)
-    first = max(i for i, rows in enumerate(before) if rows <= start)
-    last = max(i for i, rows in enumerate(before) if rows < start + size)
-    # The rows of the counted ranges. Bounds on the leading column alone reach the scan; nulls sort first.
-    near, leading = df, columns[0]
-    if first > 0:
-        lower = ranges.cut(first)[order_by[0]]
-        near = near.where(lower.isNull() | (leading >= lower))
-    if last < ranges.last:
-        upper = ranges.cut(last + 1)[order_by[0]]
-        near = near.where(leading.isNull() | (leading <= upper))
-    near = ranges.between(near, first, last)
-    # The range that a cut starts holds its key; the one before the first cut may be empty.
-    fewer = before[first] > 0 or last < ranges.last
-    if fewer and size <= TOP_ROWS:
-        return _stretch(near, order_by, start - before[first], size)
-    numbered = number_ranges(near, ranges, before, "__number")
-    return numbered.where(F.col("__number").between(start + 1, start + size)).drop("__number").orderBy(*columns)
-
-
-def page_index(
-    df: DataFrame, order_by: list[str], size: int = PAGE_SIZE, rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
+    if (number + 1) * size <= STRETCH:
+        return df.orderBy(*[F.col(quoted_name(name)) for name in order_by]).offset(number * size).limit(size)
+    return build_index(df, order_by).page(df, number, size)
+
+
+def page_index(df: DataFrame, order_by: list[str], size: int = PAGE_SIZE, ranges: int | None = None) -> DataFrame:
     """Every row with its page, counted from 0, and its place on the page, from 1."""
-    numbered = number_rows(df, order_by, name="__number", rows_per_range=rows_per_range)
+    numbered = number_rows(df, order_by, name="__number", ranges=ranges)
     place = F.col("__number") - 1
     return numbered.select(
         *[field_column(f) for f in df.schema],

@@ -52,13 +52,14 @@ def location_of(spark: SparkSession, table: str) -> str:
     return _place(spark, table).location
 
 
-def _files(spark: SparkSession, path: str):
+def files_at(spark: SparkSession, path: str):
+    """A path's file system, and the path as that takes it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def _seen(spark: SparkSession, location: str) -> _Seen:
-    files, at = _files(spark, location)
+    files, at = files_at(spark, location)
     told = files.getContentSummary(at)
     return _Seen(location, told.getFileCount(), told.getLength())
 
@@ -71,7 +72,7 @@ def exclusive(spark: SparkSession, table: str) -> Iterator[str]:
     that is lost leaves it behind; the error names it, so that it can be removed.
     """
     location = _place(spark, table).location
-    files, lock = _files(spark, f"{location}.lock")
+    files, lock = files_at(spark, f"{location}.lock")
     try:
         files.create(lock, False).close()
     except Py4JJavaError as error:
@@ -116,5 +117,5 @@ def change_table(spark: SparkSession, table: str, change: Callable[[DataFrame],
 
 def drop_version(spark: SparkSession, location: str) -> None:
     """Remove the files of a version that no query reads any more."""
-    files, at = _files(spark, location)
+    files, at = files_at(spark, location)
     files.delete(at, True)

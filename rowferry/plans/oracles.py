@@ -211,6 +211,8 @@ ORACLES: dict[str, str] = {
     "page_rows": """(SELECT * FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 45)
         UNION ALL (SELECT * FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 13500)""",
     "page_of_events": "SELECT ts, event_id, event_type FROM events ORDER BY ts, event_id LIMIT 20 OFFSET 9000",
+    "page_stored_index": """(SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 6660)
+        UNION ALL (SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20 OFFSET 160)""",
     "page_index": """SELECT o_orderdate, o_orderkey, o_totalprice, (n - 1) // 15 AS page, (n - 1) % 15 + 1 AS place
         FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""",
     "header_sample": f"""SELECT row_number() OVER (ORDER BY k) AS place, * EXCLUDE (k) FROM (

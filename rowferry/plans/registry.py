@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rowferry.endpoint import Endpoint
 from rowferry.functions import sqltypes, statements, texts
-from rowferry.operators import access, audits, constraints, dictionary, grouping, results, versions
+from rowferry.operators import access, audits, constraints, dictionary, grouping, pages, results, versions
 from rowferry.operators.copying import copy, read_endpoint
 from rowferry.plans import derived
 from rowferry.plans.derived import load
@@ -413,6 +413,19 @@ def page_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.page(events, ["ts", "event_id"], 450, 20)
 
 
+@query
+def page_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages of a catalog table: the first one builds the table's index, the other one finds it."""
+    table = f"orders_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{sf_dir}/orders.parquet'")
+    try:
+        order = ["o_orderdate", "o_orderkey"]
+        first, other = (pages.page_of_table(spark, table, order, number, 20) for number in (333, 8))
+        return first.unionByName(other)
+    finally:
+        spark.sql(f"DROP TABLE {table}")  # the files are not the table's own and stay
+
+
 @query
 def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice")

@@ -1,10 +1,9 @@
-import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rowferry.operators import grouping, numbering, results
+from rowferry.operators import grouping, numbering, pages, results
 
 
 def test_bounded_flags(spark):
@@ -43,29 +42,34 @@ def expected_numbers(rows):
     return numbers
 
 
-@pytest.mark.parametrize("rows_per_range", [300, 5_000, 100_000])
-def test_numbers_within_hot_groups(spark, skewed, rows_per_range):
-    numbered = numbering.number_rows(skewed, ["o"], ["g"], rows_per_range=rows_per_range)
+@pytest.mark.parametrize("ranges", [40, 3, 1, None])
+def test_numbers_within_hot_groups(spark, skewed, ranges):
+    numbered = numbering.number_rows(skewed, ["o"], ["g"], ranges=ranges)
     assert {r.v: r.row_number for r in numbered.collect()} == expected_numbers(skewed.collect())
 
 
-@pytest.mark.parametrize("rows_per_range", [300, 5_000, 100_000])
-def test_numbers_over_all_rows(spark, skewed, rows_per_range):
-    numbered = numbering.number_rows(skewed, ["g", "o"], rows_per_range=rows_per_range)
+@pytest.mark.parametrize("ranges", [40, 3, 1, None])
+def test_numbers_over_all_rows(spark, skewed, ranges):
+    numbered = numbering.number_rows(skewed, ["g", "o"], ranges=ranges)
     order = sorted(skewed.collect(), key=lambda r: (r.g is not None, r.g or "", r.o))
     assert {r.v: r.row_number for r in numbered.collect()} == {r.v: i for i, r in enumerate(order, start=1)}
 
 
-def test_numbering_never_uses_one_task_for_many_ranges(spark, skewed):
-    ranges = numbering.find_ranges(skewed, ["g", "o"], 300)
-    assert 30 <= len(ranges.cuts) <= 40
-    sizes = ranges.place(skewed).groupBy(F.col("__range").alias("i")).count().collect()
-    assert max(r["count"] for r in sizes) < 4 * 300
-    assert sum(r["count"] for r in sizes) == numbering.rows_before(skewed, ranges)[-1] + sizes_of(sizes, ranges.last)
+def test_hot_groups_are_split(spark, skewed):
+    placed = numbering.write_ranges(skewed, ["g", "o"], 40)
+    sizes = [r["count"] for r in placed.groupBy(numbering.RANGE).count().collect()]
+    assert len(sizes) >= 30 and sum(sizes) == 12_000 and max(sizes) < 4 * 300
+    # One shuffle of the rows: all that is joined with them afterwards is small.
+    numbered = numbering.number_rows(skewed, ["o"], ["g"], ranges=40)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan and plan.count("BroadcastHashJoin") == 1
 
 
-def sizes_of(sizes, index):
-    return next((r["count"] for r in sizes if r.i == index), 0)
+def test_no_rows_to_number(spark):
+    empty = spark.createDataFrame([], "g string, o int")
+    assert numbering.number_rows(empty, ["o"], ["g"]).columns == ["g", "o", "row_number"]
+    assert numbering.number_rows(empty, ["o"], ["g"]).count() == numbering.number_rows(empty, ["o"]).count() == 0
+    assert results.page(empty, ["o"], 1_000).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["double", "string", "timestamp_ntz", "timestamp", "decimal(20,3)", "date"])
@@ -79,20 +83,11 @@ def test_numbers_for_all_key_types(spark, kind):
     }
     key = keys.get(kind, F.timestamp_micros(F.col("id") * 86_399_999_999)).cast(kind).alias("k")
     df = base.select(F.when(F.col("id") > 0, key).alias("k"), "id")
-    numbered = numbering.number_rows(df, ["k"], rows_per_range=100).collect()
+    numbered = numbering.number_rows(df, ["k"], ranges=20).collect()
     in_order = [r.id for r in df.orderBy("k").collect()]
     assert [r.id for r in sorted(numbered, key=lambda r: r.row_number)] == in_order
 
 
-def test_range_lookup_is_a_constant(spark, skewed):
-    ranges = numbering.find_ranges(skewed, ["g", "o"], 2)
-    assert len(ranges.cuts) > 5_000
-    placed = ranges.place(skewed)
-    plan = placed._jdf.queryExecution().optimizedPlan().toString()
-    assert "from_json" not in plan and "cast" not in plan and plan.count("CASE WHEN") < 20
-    assert placed.groupBy("__range").count().count() > 5_000
-
-
 def test_late_pages_push_a_bound(spark, tmp_path):
     spark.range(30_000).write.parquet(str(tmp_path / "t"))
     page = results.page(spark.read.parquet(str(tmp_path / "t")), ["id"], 1_000)
@@ -123,25 +118,38 @@ def test_pages_larger_than_a_top_k(spark, number):
 
 
 @pytest.mark.parametrize("order_by", [["k"], ["a", "k"]])
-def test_every_page_of_less_than_two_ranges(spark, monkeypatch, order_by):
-    monkeypatch.setattr(results, "TOP_ROWS", 500)
+@pytest.mark.parametrize("ranges", [1, 4])
+def test_every_page_of_an_index(spark, order_by, ranges):
     df = spark.range(990).select(F.when(F.col("id") >= 300, F.lit(1)).alias("a"), F.col("id").alias("k")).cache()
-    for size in (15, 330, 600):
-        for number in range(-(-990 // size) + 1):
-            page = [r.k for r in results.page(df, order_by, number, size).collect()]
+    index = pages.build_index(df, order_by, stretch=100, ranges=ranges)
+    for size in (15, 100, 330, 600):
+        for number in sorted({*range(0, -(-990 // size) + 2, 1 + 60 // size), 989 // size, 990 // size, 1_000}):
+            page = [r.k for r in index.page(df, number, size).collect()]
             assert page == list(range(number * size, min(990, number * size + size)))
 
 
-def test_pages_at_the_only_cut(spark):
-    """A page that ends beyond a top-k and lies on both sides of the one cut."""
-    df = spark.range(9_900).withColumnRenamed("id", "k")
-    cuts = numbering.find_ranges(df, ["k"], results.TOP_ROWS).cuts
-    assert len(cuts) == 1
-    cut = json.loads(cuts[0])["k"]
-    for size in (15, 4_000):
-        for number in {max(0, cut // size - 1), cut // size, cut // size + 1, 9_900 // size - 1, 9_900 // size}:
-            page = [r.k for r in results.page(df, ["k"], number, size).collect()]
-            assert page == list(range(number * size, min(9_900, number * size + size)))
+def test_index_of_a_table_is_kept(spark):
+    spark.sql("DROP TABLE IF EXISTS paged")
+    spark.range(30_000).select(((F.col("id") * 7919) % 30_000).alias("k"), F.lit("x").alias("t")).write.saveAsTable("paged")
+    index = pages.table_index(spark, "paged", ["k"])
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(number):
+        spark.sparkContext.setJobGroup(f"page {number}", "")
+        page = pages.page_of_table(spark, "paged", ["k"], number, 15)
+        assert pages.table_index(spark, "paged", ["k"]) == index
+        spark.sparkContext.setJobGroup("", "")
+        return page, len(tracker.getJobIdsForGroup(f"page {number}"))
+
+    page, ran = jobs(1_500)
+    assert ran <= 2, "one lookup, which adaptive execution runs as two jobs"
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(k" in plan and "LessThanOrEqual(k" in plan
+    assert [r.k for r in page.collect()] == list(range(22_500, 22_515))
+    spark.sql("INSERT INTO paged VALUES (-1, 'new')")
+    assert pages.table_index(spark, "paged", ["k"]) != index
+    assert [r.k for r in pages.page_of_table(spark, "paged", ["k"], 1_500, 15).collect()] == list(range(22_499, 22_514))
+    spark.sql("DROP TABLE paged")
 
 
 def test_page_count(spark):
@@ -151,7 +159,7 @@ def test_page_count(spark):
 
 def test_page_index(spark):
     df = spark.range(100).select((99 - F.col("id")).alias("k"))
-    rows = results.page_index(df, ["k"], rows_per_range=20).collect()
+    rows = results.page_index(df, ["k"], ranges=5).collect()
     assert {(r.k, r.page, r.place) for r in rows} == {(k, k // 15, k % 15 + 1) for k in range(100)}
 
 
@@ -212,7 +220,7 @@ def sub_millisecond(spark, rows=3_000):
 
 
 def test_late_pages_below_a_millisecond(spark, monkeypatch):
-    monkeypatch.setattr(results, "TOP_ROWS", 300)
+    monkeypatch.setattr(results, "STRETCH", 300)
     df = sub_millisecond(spark)
     order = [r.id for r in sorted(df.collect(), key=lambda r: (r.ts, r.x))]
     for number in (0, 19, 20, 67, 133, 199, 200):
@@ -221,7 +229,7 @@ def test_late_pages_below_a_millisecond(spark, monkeypatch):
 
 def test_groups_below_a_millisecond(spark):
     df = sub_millisecond(spark)
-    numbered = numbering.number_rows(df, ["x"], ["ts"], rows_per_range=100).collect()
+    numbered = numbering.number_rows(df, ["x"], ["ts"], ranges=30).collect()
     seen = {}
     for row in sorted(numbered, key=lambda r: (r.ts, r.x)):
         seen[row.ts] = seen.get(row.ts, 0) + 1
@@ -230,7 +238,7 @@ def test_groups_below_a_millisecond(spark):
 
 @pytest.mark.parametrize("kind", ["float", "double", "decimal(20,6)", "binary", "date", "timestamp_ntz", "string"])
 def test_keys_of_other_types(spark, monkeypatch, kind):
-    monkeypatch.setattr(results, "TOP_ROWS", 100)
+    monkeypatch.setattr(results, "STRETCH", 100)
     number = F.col("id") * 7919 % 1_000
     made = {
         "binary": F.lpad(number.cast("string"), 4, "0").cast("binary"),
@@ -244,7 +252,7 @@ def test_keys_of_other_types(spark, monkeypatch, kind):
 
 
 def test_group_options(spark, skewed):
-    options = grouping.group_options(skewed, "g", "v", "o", "o", rows_per_range=300).collect()
+    options = grouping.group_options(skewed, "g", "v", "o", "o", ranges=40).collect()
     rows = skewed.collect()
     expected = {}
     for row in sorted(rows, key=lambda r: r.o):
