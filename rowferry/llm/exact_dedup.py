@@ -21,6 +21,10 @@ STATE_SETTINGS = {
 }
 
 
+#: A digest with more than one in so many of all rows is joined by a broadcast; there are fewer than this many of them.
+HOT_SHARE = 1_000
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -48,6 +52,15 @@ def absorb(spark: SparkSession, keys_path: str, state_path: str) -> DataFrame:
     return held.select("key.*", "value.*").toDF("digest", "keeper", "group_size")
 
 
+def with_groups(keys: DataFrame, state: DataFrame) -> DataFrame:
+    """Each key with its digest's state. The digests that a large share of the rows have are not shuffled by it."""
+    rows = state.agg(F.sum("group_size")).first()[0] or 0
+    hot, keys = F.col("group_size") > rows // HOT_SHARE + 1, keys.select("doc_id", "digest")
+    few = F.broadcast(state.where(hot))
+    others = keys.join(few.select("digest"), "digest", "left_anti").join(state.where(~hot), "digest")
+    return others.unionByName(keys.join(few, "digest"))
+
+
 def decide(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per row of docs: doc_id, digest, keep_id, group_size, kept.
 
@@ -62,7 +75,7 @@ def decide(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Colu
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
     keys, keys_path = stored(spark, texts.select(F.col("doc_id").cast("bigint"), "digest", F.input_file_name().alias("locator")), "dedup-keys")
     state, _ = stored(spark, absorb(spark, keys_path, scratch_path(spark, "dedup-state")), "dedup-groups")
-    decisions = keys.join(state, "digest").select(
+    decisions = with_groups(keys, state).select(
         "doc_id", "digest", F.col("keeper.doc_id").alias("keep_id"), "group_size",
         F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")).alias("kept"),
     )

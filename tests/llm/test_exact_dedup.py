@@ -55,3 +55,17 @@ def test_query(spark):
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
     wanted = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({exact_dedup.ORACLE})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(wanted)
+
+
+def test_hot_digests_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 5)
+    digests = ["hot"] * 400 + ["warm"] * 60 + [f"d{i}" for i in range(140)]
+    keys = spark.createDataFrame(list(enumerate(digests)), "doc_id long, digest string")
+    state = keys.groupBy("digest").agg(F.max(F.struct("doc_id")).alias("keeper"), F.count("*").alias("group_size"))
+    found = exact_dedup.with_groups(keys, state)
+    sizes = {r.doc_id: (r.digest, r.group_size, r.keeper.doc_id) for r in found.collect()}
+    assert found.count() == 600 and sizes == {
+        i: (d, digests.count(d), max(j for j, e in enumerate(digests) if e == d)) for i, d in enumerate(digests)
+    }
+    empty = exact_dedup.with_groups(keys.limit(0), state.limit(0))
+    assert empty.count() == 0
