@@ -6,7 +6,9 @@ sizes a <= b that overlap in 75 % of their union share one among the first
 a - ceil(0.75 a) + 1 of the one and the first so many of the other. A set most
 of whose shingles occur nowhere else is thus linked to nothing. The rest falls
 into blocks, the components of "shares one of the first shingles"; signature
-trees find the links in a block. A large block is dealt out in pieces.
+trees find the links in a block. A large block is dealt out in pieces, whose
+trees have roots of their own: a set is sent to another piece only if that
+piece's root admits a link.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm.components import components
-from rowferry.llm.scratch import discard, stored
-from rowferry.llm.signature_trees import spanning_links
+from rowferry.llm.scratch import discard, joined_by_size, stored
+from rowferry.llm.signature_trees import MOST_BITS, admitted, root_of, signatures, spanning_links
 from rowferry.llm.words import give_back, mixed, shingles, slices, word_lists
 from rowferry.plans.session import ship_package
 
@@ -29,6 +31,8 @@ WORDS, PERCENT = 5, 75
 GATHERED, RANGE_SHINGLES = 1_000_000, 2_000_000
 #: Sets and shingles of a piece of a block.
 PIECE_SETS, PIECE_SHINGLES = 100, 1_000_000
+#: Roots, and pieces whose sets are compared with them, of one task; a root or a set is a bitmap of 2 KB there.
+TILE_ROOTS, TILE_PIECES = 2_048, 50
 #: A shingle in this share of all sets counts as common: it is not gathered in one place, only counted. There are
 #: no more of them than the mean size of a set divided by this share.
 COMMON = 0.02
@@ -241,13 +245,13 @@ def first_shingles(counted: DataFrame) -> DataFrame:
 
 
 def _links_in_pieces(rows: DataFrame) -> DataFrame:
-    """Links within each piece, and for each local component its most typical set: a, b (null for those), n_sets."""
+    """Links within each piece, a and b, and for each piece its root and the most typical set (a) of its largest component."""
 
     def join(table: pa.Table) -> pa.Table:
         ids = table["set_id"].to_pylist()
         sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
         links = spanning_links(sets, ids, PERCENT)
-        made = [(ids[a], ids[b], 0) for a, b in links]
+        made = [{"a": ids[a], "b": ids[b]} for a, b in links]
         parent = {i: i for i in ids}
 
         def find(i):
@@ -256,8 +260,8 @@ def _links_in_pieces(rows: DataFrame) -> DataFrame:
                 i = parent[i]
             return i
 
-        for a, b, _ in made:
-            parent[find(a)] = find(b)
+        for link in made:
+            parent[find(link["a"])] = find(link["b"])
         _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         ends = np.cumsum([len(s) for s in sets])
         typical = np.add.reduceat(counts[inverse], np.concatenate([[0], ends[:-1]])) / np.maximum(1, np.diff(ends, prepend=0))
@@ -268,10 +272,53 @@ def _links_in_pieces(rows: DataFrame) -> DataFrame:
             members[root] = members.get(root, 0) + 1
             best[root] = max(best.get(root, (-1.0, 0)), (value, i))
         largest = max(members, key=lambda root: (members[root], root))
-        made.append((best[largest][1], None, members[largest]))
-        return pa.Table.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], names=["a", "b", "n_sets"])
+        words, least, most, excess = root_of(signatures(sets, MOST_BITS))
+        place = {name: table[name][0].as_py() for name in ("block", "pieces", "piece")}
+        made.append({"a": best[largest][1], **place, "words": words, "least": least, "most": most, "excess": excess})
+        return pa.Table.from_pylist(made, schema=schema)
 
-    return rows.groupBy("block", "piece").applyInArrow(join, "a bigint, b bigint, n_sets bigint")
+    schema = pa.schema([(name, pa.binary() if name == "words" else pa.int64()) for name in ("a", "b", "block", "pieces", "piece", "words", "least", "most", "excess")])
+    return rows.groupBy("block", "piece").applyInArrow(join, "a bigint, b bigint, block bigint, pieces bigint, piece bigint, words binary, least bigint, most bigint, excess bigint")
+
+
+def _tiles(outside: DataFrame, roots: DataFrame) -> DataFrame:
+    """Sets and roots of a block, each with all tiles (batch, chunk) it belongs to: a tile has the sets of some pieces and some of the roots."""
+
+    def sign(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            words, n, _, excess = signatures([np.frombuffer(b, np.uint64) for b in batch.column(4).to_pylist()], MOST_BITS)
+            columns = [*batch.columns[:4], pa.array([w.tobytes() for w in words], pa.binary()), pa.array(n), pa.array(n), pa.array(excess)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "block", "pieces", "piece", "words", "least", "most", "excess"])
+
+    signed = outside.select("set_id", "block", "pieces", F.col("piece").cast("bigint"), "shingles").mapInArrow(
+        sign, "id bigint, block bigint, pieces bigint, piece bigint, words binary, least bigint, most bigint, excess bigint"
+    )
+
+    def to(last, size):
+        return F.explode(F.sequence(F.lit(0), F.floor(last / size).cast("int")))
+
+    shared = ["id", "block", "words", "least", "most", "excess"]
+    sets = signed.select(*shared, F.lit(False).alias("root"), F.floor(F.col("piece") / TILE_PIECES).cast("int").alias("batch"), to(F.col("pieces") - 1, TILE_ROOTS).alias("chunk"))
+    of_pieces = roots.withColumn("id", F.col("piece")).select(
+        *shared, F.lit(True).alias("root"), to(F.col("pieces") - 1, TILE_PIECES).alias("batch"), F.floor(F.col("piece") / TILE_ROOTS).cast("int").alias("chunk")
+    )
+    return sets.unionByName(of_pieces)
+
+
+def _admitted(tiles: DataFrame) -> DataFrame:
+    """Sets and the pieces whose roots admit a link with them: set_id, to."""
+
+    def join(table: pa.Table) -> pa.Table:
+        is_root = table["root"].to_numpy()
+        ids = table["id"].to_numpy()
+        words = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        nodes = (words, *(table[name].to_numpy() for name in ("least", "most", "excess")))
+        sets, roots = (tuple(part[chosen] for part in (ids, *nodes)) for chosen in (~is_root, is_root))
+        found = [(sets[0][i], roots[0][j]) for i, j in admitted(sets[1:], roots[1:], PERCENT)]
+        set_ids, to = (np.concatenate(parts) for parts in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pa.table({"set_id": set_ids, "to": to})
+
+    return tiles.groupBy("block", "batch", "chunk").applyInArrow(join, "set_id bigint, to bigint")
 
 
 def _links_across(rows: DataFrame) -> DataFrame:
@@ -288,22 +335,50 @@ def _links_across(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block", "piece").applyInArrow(join, "a bigint, b bigint")
 
 
-def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, ranges: int, common: np.ndarray, common_counts: np.ndarray) -> DataFrame:
-    """Links between sets, a and b, that connect all that are connected."""
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A text for each wanted set, with the set's columns: that of its document, or, where several of the sets have
+    one doc_id or none, any text with that set."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    several = wanted.groupBy("_doc").agg(F.count("*").alias("c")).where("c > 1 OR _doc IS NULL").select("_doc")
+    columns = [c for c in wanted.columns if c != "_doc"]
+    if several.isEmpty():
+        return rows.join(wanted, F.col("doc_id") == F.col("_doc")).select("text", *columns)
+    once = wanted.join(several, "_doc", "left_anti").where("_doc IS NOT NULL")
+    unclear = rows.join(several, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+
+    def name(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            sets = _shingle_sets(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_set_ids(sets)[0])], names=["text", "set_id"])
+        give_back()
+
+    named = unclear.where("text IS NOT NULL").select("text").mapInArrow(name, "text string, set_id bigint")
+    named = named.join(wanted.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text"))
+    others = named.join(wanted.join(once.select("set_id"), "set_id", "left_anti"), "set_id").select("text", *columns)
+    return rows.join(once, F.col("doc_id") == F.col("_doc")).select("text", *columns).unionByName(others)
+
+
+def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, ranges: int, common: np.ndarray, common_counts: np.ndarray) -> tuple[DataFrame, list[str]]:
+    """Links between sets, a and b, that connect all that are connected; and the paths of tables to discard after use."""
     firsts, firsts_path = stored(spark, first_shingles(shared_shingles(spark, docs, ranges, common, common_counts)), "first-shingles")
     # Sets whose sizes allow a link fall into one class or into neighbours.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) - 1e-9)
     keyed = firsts.select("set_id", "shingle", F.explode(F.array(size_class, size_class + 1)).alias("class"))
-    groups = keyed.groupBy("shingle", "class").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last")).where("first < last")
-    pairs = keyed.join(groups, ["shingle", "class"]).select(F.col("set_id").alias("a"), F.col("first").alias("b"))
-    blocks, _ = stored(spark, components(spark, pairs).withColumnsRenamed({"node": "set_id", "component": "block"}), "blocks")
-    discard(spark, firsts_path)
+    groups = keyed.groupBy("shingle", "class").agg(F.min("set_id").alias("first"), F.max("set_id").alias("last"), F.count("*").alias("size")).where("first < last")
+    groups, groups_path = stored(spark, groups.drop("last"), "shingle-groups")
+    pairs = joined_by_size(keyed, groups, ["shingle", "class"], 2 * firsts.count()).select(F.col("set_id").alias("a"), F.col("first").alias("b"))
+    blocks, blocks_path = stored(spark, components(spark, pairs).withColumnsRenamed({"node": "set_id", "component": "block"}), "blocks")
+    discard(spark, firsts_path, groups_path)
 
     first_docs = sets.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     wanted = blocks.join(first_docs, "set_id")
-    sized = wanted.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / PIECE_SETS), F.ceil(F.sum("n") / PIECE_SHINGLES)).alias("pieces"))
-    wanted = wanted.join(sized, "block").select(F.col("doc_id").alias("_doc"), "set_id", "block", "pieces", F.pmod(F.xxhash64("set_id"), "pieces").cast("int").alias("piece"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "set_id", "block", "pieces", "piece")
+    sized = wanted.groupBy("block").agg(
+        F.greatest(F.ceil(F.count("*") / PIECE_SETS), F.ceil(F.sum("n") / PIECE_SHINGLES)).alias("pieces"), F.count("*").alias("size")
+    )
+    sized, sized_path = stored(spark, sized, "block-sizes")
+    wanted = joined_by_size(wanted, sized, ["block"], sets.count())
+    wanted = wanted.select(F.col("doc_id").alias("_doc"), "set_id", "block", "pieces", F.pmod(F.xxhash64("set_id"), "pieces").cast("int").alias("piece"))
+    wanted, wanted_path = stored(spark, wanted, "wanted-sets")
 
     def shingle(batches):
         for batch in (part for whole in batches for part in slices(whole)):
@@ -313,32 +388,38 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, ranges: int, co
             yield made.filter(same)
         give_back()
 
-    members = texts.mapInArrow(shingle, "set_id bigint, block bigint, pieces bigint, piece int, shingles binary")
-    members, _ = stored(spark, members, "block-members")
-    inside, _ = stored(spark, _links_in_pieces(members), "piece-links")
+    members = _texts_of(docs, wanted).mapInArrow(shingle, "set_id bigint, block bigint, pieces bigint, piece int, shingles binary")
+    members, members_path = stored(spark, members, "block-members")
+    inside, inside_path = stored(spark, _links_in_pieces(members), "piece-links")
+    discard(spark, blocks_path, sized_path, wanted_path)
+    paths = [members_path, inside_path]
     found = inside.where("b IS NOT NULL").select("a", "b")
     large = members.where("pieces > 1")
     if large.isEmpty():
-        return found
+        return found, paths
 
-    # The most typical sets of all pieces of a block are joined next; what is then outside the block's
-    # largest component is compared with all of the block.
-    typical = inside.where("b IS NULL").select(F.col("a").alias("set_id"))
-    typical = large.join(typical.distinct(), "set_id").withColumn("piece", (F.col("piece") / PIECE_SETS).cast("int"))
-    between, _ = stored(spark, _links_in_pieces(typical).where("b IS NOT NULL").select("a", "b"), "typical-links")
+    # The most typical sets of all pieces of a block are joined next. What is then outside the block's largest
+    # component is compared with the roots of all its pieces, and sent to those that admit a link.
+    roots = inside.where("b IS NULL AND pieces > 1")
+    typical = large.join(roots.select(F.col("a").alias("set_id")), "set_id").withColumn("piece", (F.col("piece") / PIECE_SETS).cast("int"))
+    between, between_path = stored(spark, _links_in_pieces(typical).where("b IS NOT NULL").select("a", "b"), "typical-links")
     found = found.unionByName(between)
     placed = large.select("set_id", "block").join(components(spark, found).withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "set_id"))
-    placed, _ = stored(spark, placed, "placed")
+    placed, placed_path = stored(spark, placed.withColumn("component", F.coalesce("component", "set_id")), "placed")
     counts = placed.groupBy("block", "component").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("block").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"))
-    labelled = large.join(placed.select("set_id", "component"), "set_id").join(largest, "block")
-    home = labelled.select("set_id", "block", "piece", "component", "shingles", F.lit(True).alias("own"))
-    elsewhere = labelled.where("component <> largest").select(
-        "set_id", "block", F.explode(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int"))).alias("to"), "component", "shingles", "piece"
-    ).where("to <> piece").select("set_id", "block", F.col("to").alias("piece"), "component", "shingles", F.lit(False).alias("own"))
-    across, _ = stored(spark, _links_across(home.unionByName(elsewhere)), "across-links")
-    return found.unionByName(across)
+    largest = counts.groupBy("block").agg(F.max(F.struct("c", "component")).getField("component").alias("largest"), F.sum("c").alias("size"))
+    largest, largest_path = stored(spark, largest, "largest-components")
+    outer = joined_by_size(placed, largest, ["block"], placed.count()).where("component <> largest").select("set_id", "component")
+    outer, outer_path = stored(spark, outer, "outside-sets")
+    to_pieces, to_path = stored(spark, _admitted(_tiles(large.join(outer, "set_id", "left_semi"), roots)), "admitted-pieces")
+    paths += [between_path, placed_path, largest_path, outer_path, to_path]
+    if to_pieces.isEmpty():
+        return found, paths
+    home = large.join(placed.select("set_id", "component"), "set_id").withColumn("own", F.lit(True))
+    elsewhere = large.join(outer, "set_id").join(to_pieces, "set_id").where("to <> piece").withColumn("piece", F.col("to").cast("int")).withColumn("own", F.lit(False))
+    columns = ["set_id", "block", "piece", "component", "shingles", "own"]
+    across, across_path = stored(spark, _links_across(home.select(*columns).unionByName(elsewhere.select(*columns))), "across-links")
+    return found.unionByName(across), [*paths, across_path]
 
 
 def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -356,15 +437,18 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if not sets.groupBy("set_id").agg(F.min("check").alias("c"), F.max("check").alias("d")).where("c <> d").isEmpty():
         raise ValueError("two sets of shingles have one identifier")
     distinct = sets.groupBy("set_id").agg(F.first("n").alias("n")).agg(F.count("*").alias("sets"), F.sum("n").alias("n")).first()
-    found = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("c")).where(F.col("c") >= max(2, COMMON * distinct.sets))
-    common = found.orderBy("shingle").toPandas()  # few, see COMMON
+    often = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("c")).where(F.col("c") >= max(2, COMMON * distinct.sets))
+    common = often.orderBy("shingle").toPandas()  # few, see COMMON
     values, counts = common.shingle.to_numpy(np.int64).astype(np.uint64), common.c.to_numpy(np.int64)
     ranges = max(1, -(-(distinct.n or 0) // RANGE_SHINGLES))
-    linked = components(spark, links(spark, docs, sets, ranges, values, counts))
+    found, paths = links(spark, docs, sets, ranges, values, counts)
+    linked = components(spark, found)
+    discard(spark, *paths)
     by_set = sets.groupBy("set_id").agg(F.min("doc_id").alias("least"))
     by_set = by_set.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    least = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = by_set.join(least, "component").select("set_id", "component_id")
+    by_set, _ = stored(spark, by_set, "components-of-sets")
+    least, _ = stored(spark, by_set.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "least-documents")
+    by_set = joined_by_size(by_set, least, ["component"], distinct.sets).select("set_id", "component_id")
     return rows.where("shingle IS NULL").join(by_set, "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowferry.plans.session import scratch_path
 
@@ -12,6 +13,10 @@ from rowferry.plans.session import scratch_path
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: A group with more than one in so many of all rows is joined by a broadcast.
+HOT_SHARE = 1_000
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for a while."""
@@ -43,6 +48,18 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Each row with its group; groups has a row per key and ``size``, the number of its rows of ``total`` at most.
+
+    A group with more than one in HOT_SHARE of the rows is broadcast, and its rows are not shuffled: there are
+    fewer than HOT_SHARE of those. Rows without a group are left out.
+    """
+    hot = F.col("size") > total // HOT_SHARE + 1
+    few = F.broadcast(groups.where(hot))
+    others = rows.join(few.select(*keys), keys, "left_anti").join(groups.where(~hot), keys)
+    return others.unionByName(rows.join(few, keys)).drop("size")
+
+
 def free_name(stem: str, taken: list[str]) -> str:
     """A column name that none of the given ones equals, however it is written."""
     lowered = {name.lower() for name in taken}

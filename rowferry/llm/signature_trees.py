@@ -8,6 +8,37 @@ import numpy as np
 FAN, SPARSE, LEAST_BITS, MOST_BITS = 4, 8, 256, 1 << 14
 #: Node pairs looked at together.
 PAIRS = 200_000
+#: Sets, and pairs of a set and a root, looked at together where bitmaps have MOST_BITS.
+ADMITTED_SETS, ADMITTED_PAIRS = 256, 10_000
+
+
+def signatures(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, ...]:
+    """A leaf for each set: the bitmap's words, its size twice (least and most below the node), its excess."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    bitmaps = np.zeros((len(sets), bits), bool)
+    for row, s in enumerate(sets):
+        bitmaps[row, (s & np.uint64(bits - 1)).astype(np.int64)] = True
+    # Tokens beyond one a bit; so many more may two sets share than their bitmaps do.
+    excess = sizes - bitmaps.sum(1)
+    return np.packbits(bitmaps, axis=1).view(np.uint64), sizes, sizes, excess
+
+
+def root_of(leaves: tuple[np.ndarray, ...]) -> tuple[bytes, int, int, int]:
+    """One node above all leaves: bitmap, least and most size, excess."""
+    words, least, most, excess = leaves
+    return np.bitwise_or.reduce(words, axis=0).tobytes(), int(least.min()), int(most.max()), int(excess.max())
+
+
+def admitted(sets: tuple[np.ndarray, ...], roots: tuple[np.ndarray, ...], percent: int):
+    """Pairs of a set and a root that may have a link below it, in blocks."""
+    for start in range(0, len(sets[0]), ADMITTED_SETS):
+        end = min(start + ADMITTED_SETS, len(sets[0]))
+        sizes = sets[1][start:end, None]
+        i, j = np.nonzero((100 * sizes >= percent * roots[1][None]) & (100 * roots[2][None] >= percent * sizes))
+        for at in range(0, len(i), ADMITTED_PAIRS):
+            of_set, of_root = i[at : at + ADMITTED_PAIRS] + start, j[at : at + ADMITTED_PAIRS]
+            fits, _ = _possible(sets, roots, of_set, of_root, percent)
+            yield of_set[fits], of_root[fits]
 
 
 class Tree:
@@ -17,14 +48,7 @@ class Tree:
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         # Like sets lie beside each other: those that share their least token, by size.
         self.order = np.lexsort((sizes, np.array([s[0] for s in sets], np.uint64)))
-        sizes = sizes[self.order]
-        bitmaps = np.zeros((len(sets), bits), bool)
-        for row, i in enumerate(self.order.tolist()):
-            bitmaps[row, (sets[i] & np.uint64(bits - 1)).astype(np.int64)] = True
-        # Tokens beyond one a bit; so many more may two sets share than their bitmaps do.
-        excess = sizes - bitmaps.sum(1)
-        words = np.packbits(bitmaps, axis=1).view(np.uint64)
-        self.levels = [(words, sizes, sizes, excess)]
+        self.levels = [signatures([sets[i] for i in self.order.tolist()], bits)]
         while len(self.levels[-1][0]) > 1:
             words, least, most, excess = self.levels[-1]
             starts = np.arange(0, len(words), FAN)

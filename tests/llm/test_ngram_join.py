@@ -68,6 +68,32 @@ def test_components(spark, documents, monkeypatch, pieces):
     assert joined(ngram_join.join(spark, documents(ROWS).repartition(5))) == expected(ROWS)
 
 
+def test_sets_without_links_are_not_sent_to_all_pieces(spark, documents, monkeypatch):
+    n, seen = 5_000, {}
+    tiles, across = ngram_join._tiles, ngram_join._links_across
+
+    def count_tiles(outside, roots):
+        seen["tiles"] = tiles(outside, roots).count()
+        return tiles(outside, roots)
+
+    def count_across(rows):
+        seen["across"] = rows.count()
+        return across(rows)
+
+    monkeypatch.setattr(ngram_join, "_tiles", count_tiles)
+    monkeypatch.setattr(ngram_join, "_links_across", count_across)
+    rows = [(i, f"all have these six words here x{i} y{i}") for i in range(n)]
+    rows += [(n + i, f"all have these six words here x{7 * i} y{7 * i} z") for i in range(5)]  # four of five shingles
+    found = {r[0]: r[2] for r in joined(ngram_join.join(spark, documents(rows)))}
+    assert found == {**{i: i for i in range(n)}, **{n + i: 7 * i for i in range(5)}}
+    assert 0 < seen["tiles"] < 3 * n and 0 < seen["across"] < 3 * n
+
+
+def test_sets_without_identifiers(spark, documents):
+    rows = [(None if i % 2 else 5, text) for i, (_, text) in enumerate(near_copies(9))]
+    assert joined(ngram_join.join(spark, documents(rows).repartition(3))) == expected(rows)
+
+
 def test_no_rows(spark, documents):
     assert joined(ngram_join.join(spark, documents([]))) == []
     assert joined(ngram_join.join(spark, documents([(1, None), (2, "")]))) == [(1, 0, 1), (2, 0, 2)]
