@@ -37,6 +37,9 @@ TILE_ROOTS, TILE_PIECES = 2_048, 50
 #: no more of them than the mean size of a set divided by this share.
 COMMON = 0.02
 
+#: Bits of the filter of documents whose texts are needed again; 64 of them are a row, which makes a million rows at most.
+FILTER_BITS = 1 << 26
+
 #: Shingles are compared by 48 bits when they are counted; two that agree there only share their count.
 _SHORT = np.uint64(16)
 
@@ -335,10 +338,22 @@ def _links_across(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block", "piece").applyInArrow(join, "a bigint, b bigint")
 
 
+def _maybe_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows without those whose doc_id is none of the wanted ones, by bits of its hash, so that their texts are not
+    shuffled. The bits are broadcast, as their number is fixed; the more are set, the more other rows pass too."""
+
+    def bit(column: str) -> F.Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("_bit")
+
+    words = wanted.select(bit("_doc")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 AS int)))").alias("_bits"))
+    marked = rows.select("*", bit("doc_id")).join(F.broadcast(words), F.shiftright("_bit", 6) == F.col("_word"))
+    return marked.where("bit_get(_bits, cast(_bit % 64 AS int)) = 1").select(*rows.columns)
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """A text for each wanted set, with the set's columns: that of its document, or, where several of the sets have
     one doc_id or none, any text with that set."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = _maybe_wanted(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted)
     several = wanted.groupBy("_doc").agg(F.count("*").alias("c")).where("c > 1 OR _doc IS NULL").select("_doc")
     columns = [c for c in wanted.columns if c != "_doc"]
     if several.isEmpty():

@@ -140,3 +140,14 @@ def test_components_of_chains_and_stars(spark):
 def test_query(spark):
     table = pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     assert joined(ngram_join.op5_ngram_join(spark, SMALL)) == expected(list(zip(table["doc_id"], table["text"])))
+
+
+def test_only_texts_of_wanted_documents_are_shuffled(spark):
+    rows = spark.range(0, 20_000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "concat('t', id) AS text")
+    wanted = spark.createDataFrame([(3,), (None,), (19_999,), (3,)], "_doc bigint")
+    passed = ngram_join._maybe_wanted(rows, wanted)
+    assert passed.columns == ["doc_id", "text"]
+    found = sorted(row.text for row in passed.collect())
+    assert {"t3", "t7", "t19999"} <= set(found) and len(found) == len(set(found)) < 20
+    assert ngram_join._maybe_wanted(rows, wanted.limit(0)).isEmpty()
+    assert "BroadcastHashJoin" in passed._jdf.queryExecution().executedPlan().toString()
