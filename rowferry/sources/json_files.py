@@ -16,6 +16,8 @@ _AS_TEXT = (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
 
 # What becomes of keys and cells that the header does not name.
 EXTRA = ("drop", "fail", "widen")
+# Other keys that become columns, and that an error names, at most.
+WIDEST, NAMED = 10_000, 20
 
 
 def first_file(spark: SparkSession, path: str, pattern: str | None = None) -> str:
@@ -44,10 +46,11 @@ def from_text(value: str | F.Column, data_type: T.DataType):
     return F.unbase64(value) if isinstance(data_type, T.BinaryType) else value.cast(data_type)
 
 
-def all_keys(spark: SparkSession, path: str) -> list[str]:
-    """The keys of all objects of all files, sorted."""
+def keys_beyond(spark: SparkSession, path: str, header: list[str], most: int) -> list[str]:
+    """Keys that any object of any file has and the header does not name, sorted; any ``most`` of them if there are more."""
     keys = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("key"))
-    return sorted(row.key for row in keys.distinct().collect())
+    known = F.array_contains(F.array(*[F.lit(name) for name in header]).cast("array<string>"), F.col("key"))
+    return sorted(row.key for row in keys.where(~known).distinct().limit(most).collect())
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, extra: str = "drop") -> DataFrame:
@@ -55,6 +58,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
     Other keys are dropped; with ``extra="fail"`` they fail the call, with "widen" they
     become columns after the others, by name. Both take a pass over the files for the keys.
+    Objects used as maps, with more than WIDEST other keys, are refused; no more than that
+    come to the driver. Read them as a map, or without their other keys.
 
     Without ``schema`` the column types come from one more pass over the files.
     A line that is no JSON, or does not fit its column's type, fails the query.
@@ -62,9 +67,11 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     if extra not in EXTRA:
         raise ValueError(f"unknown extra {extra}")
     header = read_header(spark, path) if schema is None else schema.names
-    others = [key for key in all_keys(spark, path) if key not in header] if extra != "drop" else []
+    others = keys_beyond(spark, path, header, NAMED if extra == "fail" else WIDEST + 1) if extra != "drop" else []
     if others and extra == "fail":
         raise ValueError(f"keys beyond the header {header}: {others}")
+    if len(others) > WIDEST:
+        raise ValueError(f"more than {WIDEST} keys beyond the header {header}: {others[:NAMED]}")
     if schema is None or others:
         found = {f.name: f.dataType for f in spark.read.option("mode", "FAILFAST").json(path).schema}
         given = [] if schema is None else schema.fields

@@ -477,6 +477,21 @@ def test_json_keys_beyond_the_header(spark, tmp_path):
         assert sorted(map(tuple, wide.collect())) == [(1, None, None), (2, "x", "{}")] and wide.columns == ["b", "a", "z"]
 
 
+def test_json_objects_used_as_maps(spark, tmp_path, monkeypatch):
+    objects = [{"b": 1, **{f"k{i * 10 + j:03}": j for j in range(10)}} for i in range(40)]
+    (tmp_path / "a.json").write_text("".join(json.dumps(o) + "\n" for o in [{"b": 0}, *objects]))
+    path = str(tmp_path)
+    with pytest.raises(ValueError) as error:
+        json_files.read_json(spark, path, extra="fail")
+    assert str(error.value).count("'k") == json_files.NAMED
+    assert len(json_files.read_json(spark, path, extra="widen").columns) == 401
+    monkeypatch.setattr(json_files, "WIDEST", 399)
+    with pytest.raises(ValueError, match="more than 399 keys"):
+        json_files.read_json(spark, path, extra="widen")
+    assert json_files.read_json(spark, path).columns == ["b"]
+    assert json_files.keys_beyond(spark, path, [], 500) == ["b", *[f"k{i:03}" for i in range(400)]]
+
+
 def test_cells_beyond_the_header(spark, tmp_path, monkeypatch):
     rows = [[("s", "b")], [("n", "1"), ("n", "2.5"), ("e", "")], [("n", "3")]]
     (tmp_path / "a.xlsx").write_bytes(b"-")
