@@ -47,6 +47,16 @@ def spread(df: DataFrame, endpoint: Endpoint) -> DataFrame:
     return df.repartition(partitions) if partitions else df
 
 
+def well_split(df: DataFrame) -> bool:
+    """Whether a table's scan gives no task more than twice a core's share of its rows.
+
+    Then a shuffle before a copy costs its bytes and gains nothing. A pass that
+    reads no column counts the rows of each partition.
+    """
+    counts = df.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    return counts.rows is not None and counts.most * df.sparkSession.sparkContext.defaultParallelism <= 2 * counts.rows
+
+
 def write_endpoint(df: DataFrame, endpoint: Endpoint) -> None:
     """Write rows to a destination."""
     _write(spread(df, endpoint), endpoint)

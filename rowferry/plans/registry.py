@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from rowferry.endpoint import Endpoint
 from rowferry.functions import sqltypes, statements, texts
 from rowferry.operators import access, audits, constraints, dictionary, grouping, pages, results, versions
-from rowferry.operators.copying import copy, read_endpoint
+from rowferry.operators.copying import copy, read_endpoint, well_split
 from rowferry.plans import derived
 from rowferry.plans.derived import load
 from rowferry.plans.session import scratch_path, ship_package
@@ -72,8 +72,9 @@ def _through_files(spark: SparkSession, sf_dir: str, table: str, file_format: st
     """Copy a table to a fresh folder of files and read it back under its own types."""
     ship_package(spark)
     df = load(spark, sf_dir, table)
-    # As many files as shuffles have partitions, whatever the scan's splits are.
-    options = {"partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    # As many files as shuffles have partitions, unless the scan's splits do as well. One task reads a whole workbook.
+    shuffled = file_format == "xlsx" or not well_split(df)
+    options = {"partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))} if shuffled else {}
     derived.register_tables(spark, sf_dir, table)
     folder = scratch_path(spark, file_format)
     copy(spark, Endpoint("table", table=table), Endpoint("file", format=file_format, path=folder, options=options))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowferry.endpoint import Endpoint
-from rowferry.operators.copying import copy, export_name, read_endpoint, write_endpoint
-from rowferry.plans import session
+from rowferry.operators.copying import copy, export_name, read_endpoint, well_split, write_endpoint
+from rowferry.plans import registry, session
 from rowferry.sources import tables
 
 
@@ -145,6 +145,24 @@ def test_partitions_set_the_number_of_files(spark, tmp_path, people):
     assert len(list((tmp_path / "out").glob("part-*"))) == 2
 
 
+def test_split_tables_are_copied_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """A table whose scan deals its rows out is copied as it is split; one that a task would read alone is shuffled."""
+    parallel, asked = spark.sparkContext.defaultParallelism, []
+    made = registry.copy
+    monkeypatch.setattr(registry, "copy", lambda s, origin, to: asked.append(to.options.get("partitions")) or made(s, origin, to))
+    rows = spark.range(4000).withColumn("v", F.col("id") * 2)
+    for name, parts in (("even", 4 * parallel), ("one", 1)):
+        (tmp_path / name).mkdir()
+        rows.repartition(parts).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        for file_format in ("json", "csv"):
+            back = registry._through_files(spark, f"{tmp_path}/{name}", "lineitem", file_format, typed=file_format == "json")
+            assert back.count() == 4000 and back.agg(F.sum("v")).first()[0] == 2 * sum(range(4000))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert asked == [None, None, shuffled, shuffled]
+    assert not well_split(spark.range(0, 100, 1, 1)) or parallel <= 2
+    assert not well_split(spark.range(0))
+
+
 def test_query_in_a_schema(spark, people):
     spark.sql("CREATE DATABASE IF NOT EXISTS aside")
     name = new_name()
