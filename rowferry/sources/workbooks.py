@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import io
-import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +22,6 @@ _CELLS = "path string, row long, kinds string, cells array<string>"
 _CELLS_ARROW = pa.schema(
     [("path", pa.string()), ("row", pa.int64()), ("kinds", pa.string()), ("cells", pa.list_(pa.string()))]
 )
-_BATCH_ROWS = 5_000
 
 
 # ---------------------------------------------------------------- reading
@@ -50,28 +49,33 @@ def _cells_of(header: list[str], extra: str):
     width = len(header)
     kept = width if extra == "drop" else None
 
+    def check(path: str, found: list[str]) -> None:
+        if found != header:
+            raise ValueError(f"{path} has the header {found}, not {header}")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = sheet_xml.read_rows(io.BytesIO(content.as_py()))
-                found = [text for _, text in next(rows, [])]
-                if found != header:
-                    raise ValueError(f"{path} has the header {found}, not {header}")
-                for start in itertools.count(1, _BATCH_ROWS):
-                    part = [row[:kept] for row in itertools.islice(rows, _BATCH_ROWS)]
-                    if not part:
-                        break
-                    if extra == "fail" and any(kind != sheet_xml.EMPTY for row in part for kind, _ in row[width:]):
+                header_there, start = False, 1
+                # Python objects are made of no cell but the header's; the content is not copied.
+                for kinds, cells in sheet_xml.read_parts(pa.BufferReader(content.as_buffer())):
+                    if not header_there:
+                        check(path, cells[0].as_py() if len(cells) else [])
+                        header_there, kinds, cells = True, kinds[1:], cells[1:]
+                    if not len(cells):
+                        continue
+                    longest = pc.max(pc.binary_length(kinds)).as_py()
+                    if extra == "fail" and longest > width and pc.any(pc.match_substring_regex(pc.utf8_slice_codeunits(kinds, width), f"[^{sheet_xml.EMPTY}]")).as_py():
                         raise ValueError(f"{path} has cells beyond the header {header}")
+                    if kept is not None and longest > kept:
+                        kinds, cells = pc.utf8_slice_codeunits(kinds, 0, kept), pc.list_slice(cells, 0, kept, return_fixed_size_list=False)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([path] * len(part), pa.string()),
-                            pa.array(range(start, start + len(part)), pa.int64()),
-                            pa.array(["".join(kind for kind, _ in row) for row in part], pa.string()),
-                            pa.array([[text for _, text in row] for row in part], pa.list_(pa.string())),
-                        ],
+                        [pa.array([path] * len(cells), pa.string()), pa.array(range(start, start + len(cells)), pa.int64()), kinds, cells],
                         schema=_CELLS_ARROW,
                     )
+                    start += len(cells)
+                if not header_there:
+                    check(path, [])
 
     return read
 

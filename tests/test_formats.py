@@ -2,10 +2,12 @@
 
 import csv
 import io
+import itertools
 import json
 import random
 import zipfile
 from pathlib import Path
+from xml.etree import ElementTree
 
 import pyarrow as pa
 import pytest
@@ -453,6 +455,60 @@ def test_sheet_text_survives(tmp_path):
         target = io.BytesIO()
 
 
+def flat_parts(target):
+    parts = list(sheet_xml.read_parts(target))
+    return [list(zip(*row, strict=True)) for kinds, cells in parts for row in zip(kinds.to_pylist(), cells.to_pylist(), strict=True)]
+
+
+def test_own_sheets_are_not_parsed(monkeypatch):
+    """A sheet of this library is taken apart by chunks, with the rows that parsing gives; no row of it is parsed."""
+    draw = random.Random(5)
+    texts = ["", "<c/>", "a & b", "&lt;", "_x000D_", "cr\r\n", "\x01", "é<>\"'", "]]>", "\n\t", "\uffff", "</row><row>", None, "𝄞", "1"]
+    n = 3000
+    batch = pa.RecordBatch.from_pydict({
+        "t": [draw.choice(texts) for _ in range(n)],
+        "d": [draw.choice([1.5, float("nan"), float("inf"), 1e300, -0.0, None, 5e-324]) for _ in range(n)],
+        "i": [draw.choice([1, -5, None]) for _ in range(n)],
+        "b": [draw.choice([True, False, None]) for _ in range(n)],
+    })
+    for part in (batch, batch.slice(7, 900), batch.slice(0, 0), batch.select(["i"])):
+        target = io.BytesIO()
+        sheet_xml.write_rows(target, part.schema.names, [part])
+        found = list(sheet_xml.read_rows(target))
+        with monkeypatch.context() as patch:
+            patch.setattr(sheet_xml, "read_rows", None)
+            patch.setattr(sheet_xml, "_CHUNK", 1000)
+            assert flat_parts(target) == found
+
+
+def test_sheets_of_others_are_parsed():
+    """Whatever a sheet holds, parts of rows have what parsing gives, or fail as it does."""
+    opening, closing = sheet_xml._OPENING.decode(), sheet_xml._CLOSING.decode()
+    text = '<c t="inlineStr"><is><t xml:space="preserve">'
+    own = "<row><c><v>1</v></c><c/></row>"
+    bodies = [
+        own + '<row r="2"><c r="B2"><v>2</v></c></row>' + own, "<row/>", "", "<row></row>", "<row><!-- x --><c><v>1</v></c></row>", own + " " + own,
+        "<row><c><v>x</v></c><c><v></v></c><c><v> 5 </v></c><c><v>1e5</v></c><c><v>nan</v></c></row>", "<row><c><v>&#49;</v></c></row>",
+        '<row><c t="b"><v>0</v></c><c t="b"><v></v></c><c t="b"><v>7</v></c></row>', f"<row>{text}a</v></c></row>", "<row><c><v>1</t></is></c></row>",
+        f"<row>{text}a\r\nb</t></is></c></row>", f"<row>{text}<![CDATA[<c/>]]></t></is></c></row>", f"<row>{text}a&#x41;_x0041_</t></is></c></row>",
+        "<row><c/>x</row>", "<row><c><v>1&amp;</v></c></row>", "<row><c><v>1&nbsp;</v></c></row>", own + "<row><c/>", "<row><row><c/></row></row>",
+    ]
+
+    def tried(read, target):
+        try:
+            return list(read(target))
+        except ElementTree.ParseError:
+            return "fails"
+
+    for body, end in itertools.product(bodies, (closing, "", closing + " ")):
+        target = io.BytesIO()
+        with zipfile.ZipFile(target, "w") as package:
+            for name, content in sheet_xml._PACKAGE.items():
+                package.writestr(name, content)
+            package.writestr("xl/worksheets/sheet1.xml", opening + body + end)
+        assert tried(flat_parts, target) == tried(sheet_xml.read_rows, target), body + end
+
+
 def test_number_cells(tmp_path):
     values = [1.5, 1e21, float("nan"), float("-inf"), None]
     target = io.BytesIO()
