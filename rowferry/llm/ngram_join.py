@@ -111,7 +111,7 @@ def _packed(ids: np.ndarray, n: np.ndarray, values: np.ndarray, which: np.ndarra
     return b"".join(part.tobytes() for part in parts)
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(blob: pa.Buffer | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set ids, sizes and values, one of each per value."""
     n_sets, n_values, first, wide = np.frombuffer(blob, np.uint64, 4).astype(np.int64).tolist()
     at = 32
@@ -123,6 +123,16 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[place], n[place], np.cumsum(steps, dtype=np.uint64) + np.uint64(first)
 
 
+def _all_unpacked(blobs: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of all blobs together, without a copy of them or of their parts."""
+    ends = np.cumsum([int(np.frombuffer(blob, np.uint64, 2)[1]) for blob in blobs]).tolist()
+    made = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int32), np.empty(ends[-1], np.uint64)
+    for blob, start, end in zip(blobs, [0, *ends[:-1]], ends):
+        for whole, part in zip(made, _unpacked(blob)):
+            whole[start:end] = part
+    return made
+
+
 def _counted(part: int, ids: np.ndarray, n: np.ndarray, values: np.ndarray, counts: np.ndarray) -> dict:
     """Shingles of one part of the sets, with their counts, ordered by set."""
     order = np.argsort(ids, kind="stable")
@@ -130,7 +140,7 @@ def _counted(part: int, ids: np.ndarray, n: np.ndarray, values: np.ndarray, coun
     starts = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
     sizes = np.diff(starts, append=len(ids))
     head = np.array([len(starts), len(ids)], np.int64)
-    pieces = [head, ids[starts], n[starts], sizes, values[order], counts[order].astype(np.int64)]
+    pieces = [head, ids[starts], n[starts].astype(np.int64), sizes, values[order], counts[order].astype(np.int64)]
     return {"part": part, "blob": b"".join(p.tobytes() for p in pieces)}
 
 
@@ -184,21 +194,25 @@ def shared_shingles(spark: SparkSession, docs: DataFrame, ranges: int, common: n
     def count(table: pa.Table) -> pa.Table:
         rows = []
         for kind in (0, 1):
-            blobs = [b for b, k in zip(table["blob"].to_pylist(), table["kind"].to_pylist()) if k == kind]
+            blobs = [b.as_buffer() for b, k in zip(table["blob"], table["kind"].to_pylist()) if k == kind]
             if not blobs:
                 continue
-            ids, n, values = (np.concatenate(parts) for parts in zip(*map(_unpacked, blobs)))
+            ids, n, values = _all_unpacked(blobs)
             order = np.lexsort((ids, values))
-            ids, n, values = ids[order], n[order], values[order]
+            values = values[order]  # one after the other, so that a task holds few such columns
+            ids = ids[order]
+            n = n[order]
+            del order
             new = np.ones(len(ids), bool)
             new[1:] = (values[1:] != values[:-1]) | (ids[1:] != ids[:-1])
-            ids, n, values = ids[new], n[new], values[new]
+            if not new.all():
+                ids, n, values = ids[new], n[new], values[new]
             if kind:
                 counts = sent_common.value[1][np.searchsorted(sent_common.value[0], values)]
             else:
                 starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
                 sizes = np.diff(starts, append=len(values))
-                counts = np.repeat(sizes, sizes)
+                counts = np.repeat(sizes.astype(np.int32), sizes)
             several = counts > 1
             ids, n, values, counts = ids[several], n[several], values[several], counts[several]
             part = (ids.view(np.uint64) >> np.uint64(32)) % np.uint64(ranges)
@@ -220,7 +234,7 @@ def first_shingles(counted: DataFrame) -> DataFrame:
 
     def choose(table: pa.Table) -> pa.Table:
         found = []
-        for blob in table["blob"].to_pylist():
+        for blob in (value.as_buffer() for value in table["blob"]):
             n_sets, n_values = np.frombuffer(blob, np.int64, 2).tolist()
             numbers = np.frombuffer(blob, np.int64, offset=16)
             ids, n, sizes = numbers[:n_sets], numbers[n_sets : 2 * n_sets], numbers[2 * n_sets : 3 * n_sets]
@@ -239,6 +253,7 @@ def first_shingles(counted: DataFrame) -> DataFrame:
         first = n - (n * PERCENT + 99) // 100 + 2
         alone = n - np.repeat(sizes, sizes)
         chosen = rank + alone < first
+        give_back()
         return pa.table({"set_id": ids[chosen], "n": n[chosen], "shingle": values[chosen]})
 
     return counted.groupBy("part").applyInArrow(choose, "set_id bigint, n bigint, shingle bigint")

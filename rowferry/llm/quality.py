@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.folds import held_out, sampled_ids
 from rowferry.llm.scratch import free_name
-from rowferry.llm.words import SPACES, hash_words, powers, slices
+from rowferry.llm.words import SPACES, give_back, hash_words, powers, slices
 from rowferry.plans.session import ship_package
 
 #: Positives and unlabelled rows that are learned from, at most.
@@ -171,6 +171,7 @@ def measured(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for batch in (part for whole in batches for part in slices(whole)):
             flat = np.concatenate([measure((text or "").encode()) for text in batch.column(1).to_pylist()] or [np.empty(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), FEATURES).cast(pa.list_(pa.float64()))], names=["doc_id", "features"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, features array<double>")
 
@@ -207,6 +208,7 @@ def score(spark: SparkSession, docs: DataFrame, net: Network | None, columns: tu
             scores = np.ones(len(texts)) if net is None else net.scores(x)
             kept = batch.select(range(len(columns)))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], names=[*kept.schema.names, name])
+        give_back()
 
     fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]], f"`{name}` double"]
     return chosen.mapInArrow(run, ", ".join(fields))

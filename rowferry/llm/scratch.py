@@ -11,6 +11,8 @@ from rowferry.plans.session import scratch_path
 
 #: Drops the shuffle files of a query once it has ended; they would otherwise stay until the driver collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch sent to a Python task: buffers of it lie outside the executor's heap, and rows may be blobs.
+_BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 #: A group with more than one in so many of all rows is joined by a broadcast.
@@ -36,7 +38,7 @@ def settings(spark: SparkSession, values: dict[str, str]):
 def stored(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """The rows as a table in the shared folder, and its path; an executor that is lost takes none of them along."""
     path = scratch_path(spark, label)
-    with settings(spark, {_CLEANUP: "true"}):
+    with settings(spark, {_CLEANUP: "true", **_BATCH_BYTES}):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

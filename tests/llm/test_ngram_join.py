@@ -2,12 +2,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest_llm import SMALL
+from pyspark.sql import functions as F
 
 from rowferry.llm import components as comp
 from rowferry.llm import ngram_join, signature_trees
+from rowferry.llm.scratch import stored
 from rowferry.llm.words import shingles, word_lists
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -151,3 +154,31 @@ def test_only_texts_of_wanted_documents_are_shuffled(spark):
     assert {"t3", "t7", "t19999"} <= set(found) and len(found) == len(set(found)) < 20
     assert ngram_join._maybe_wanted(rows, wanted.limit(0)).isEmpty()
     assert "BroadcastHashJoin" in passed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_get_batches_of_few_bytes(spark):
+    """A scratch table's Python tasks get long rows in batches of bounded size, one by one or by group."""
+    rows = spark.range(0, 3000, 1, 1).withColumn("text", F.repeat(F.lit("x"), 10_000))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)], "bytes": [batch.nbytes]})
+
+    def grouped(table):
+        return pa.table({"n": [len(table)], "bytes": [max(batch.nbytes for batch in table.to_batches())]})
+
+    for made in (rows.mapInArrow(sizes, "n bigint, bytes bigint"), rows.groupBy(F.col("id") % 1).applyInArrow(grouped, "n bigint, bytes bigint")):
+        found = stored(spark, made, "batch-sizes")[0].agg(F.sum("n").alias("n"), F.max("bytes").alias("most")).first()
+        assert found.n == 3000 and found.most < 6_000_000
+
+
+def test_values_of_many_blobs():
+    draw = np.random.default_rng(3)
+    blobs, expected_parts = [], []
+    for wide in (0, 1, 0):
+        values = np.sort(draw.integers(0, 1 << (47 if wide else 20), 500).astype(np.uint64))
+        ids, n, which = draw.integers(-(1 << 62), 1 << 62, 40), draw.integers(1, 900, 40), draw.integers(0, 40, 500)
+        blobs.append(pa.py_buffer(ngram_join._packed(ids, n, values, which)))
+        expected_parts.append((ids[which], n[which], values))
+    for found, parts in zip(ngram_join._all_unpacked(blobs), zip(*expected_parts)):
+        assert (found == np.concatenate(parts)).all()
