@@ -13,16 +13,18 @@ ids before it in the file, so that records can be read in any order.
 from __future__ import annotations
 
 import os
-import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
+from operator import attrgetter
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,12 +36,12 @@ from rowferry.plans.session import ship_package
 
 #: Text bytes meant for one writing task, and bytes after which a task starts a new file.
 TASK_BYTES, FILE_BYTES = 32 << 20, 64 << 20
-#: Pieces of text in a generation of a worker's memory, and characters that are looked up together.
-CACHED_PIECES, BATCH_CHARS = 250_000, 1_000_000
+#: Pieces of text in a generation of a worker's memory, and bytes whose pieces are looked up together.
+CACHED_PIECES, BATCH_BYTES = 250_000, 4 << 20
 
-_HEAD, _CRC, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
+_TOKEN_ID = attrgetter("id")
 
-_STOP = re.compile("(?<=[0-9A-Za-z])[.,]")
+_HEAD, _CRC, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq"), struct.Struct("<QQ")
 
 MANIFEST = "task int, part int, data string, index string, n_docs bigint, n_ids bigint"
 
@@ -71,11 +73,12 @@ def unframe(data: memoryview, offset: int = 0) -> tuple[int | None, np.ndarray,
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. Its file drops white space, so a text is encoded piece by
-    piece between spaces and line breaks, and pieces seen lately are remembered as bytes of ids.
-    As the file also lower-cases, after composing characters, and ends a run of letters or a
-    digit before a dot or comma, there are fewer different pieces than words of the text.
-    Special tokens are matched before that, so pieces that may hold one keep their case."""
+    """Ids by the tokenizers library. Its file drops white space and ends a run of letters before
+    any other character, so a text is encoded piece by piece between spaces and line breaks and
+    from a letter or digit to punctuation, and pieces seen lately are remembered as bytes of ids.
+    Each different piece of a batch is looked at once. As the file also lower-cases, after composing
+    characters, they are looked up in lower case. Special tokens are matched before that, so
+    pieces that may hold one keep their case, and no piece ends at a character that one has."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -84,69 +87,114 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items() if token.special}
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = {token.content: number for number, token in added.items() if token.special}
         self.between, self.between_id = next(iter(special.items()), (None, None))
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = None  # which ids end a word
-        if suffix:
-            vocab = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[number for token, number in vocab.items() if token.endswith(suffix)]] = True
+        # Whether the file leaves small letters as they are and merges each word by itself.
+        words, merge = ["of", "plain", "words"], self.tokenizer.model.tokenize
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        self.direct = self.tokenizer.pre_tokenizer is not None and whole == [token.id for word in words for token in merge(word)]
+        self.kinds = _byte_kinds("".join(token.content for token in added.values()))
         self.recent = Recent(CACHED_PIECES, self._find)
 
     def _find(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Pieces are encoded many at a time: words of letters with spaces between, each with one token
-        that ends it; others with a special token between; those that may hold one, alone."""
-        words = [piece for piece in pieces if piece.isalpha() and piece.islower() and max(piece) < "\u0250"] if self.ends is not None else []
+        """Words of small letters go straight to the library's merges, by the symbols that its file cuts from them;
+        others through all of its steps, many at a time with a special token between; those that may hold one, alone."""
+        words = [piece for piece in pieces if piece.isalpha() and piece.islower() and (piece.isascii() or max(piece) < "\u0250")] if self.direct else []
         others = set(pieces).difference(words)
         alone = [piece for piece in others if "<" in piece or self.between is None]
         others = list(others.difference(alone))
-        for group, between in ((words, " "), (others, self.between)):
-            for at in range(0, len(group), 2_000):
-                part = group[at : at + 2_000]
-                ids = np.array(self.tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
-                if group is words:
-                    stops = np.flatnonzero(self.ends[ids]) + 1
-                    starts = np.append(0, stops[:-1])
-                else:
-                    cuts = np.flatnonzero(ids == self.between_id)
-                    starts, stops = np.append(0, cuts + 1), np.append(cuts, len(ids))
-                if len(starts) != len(part):
-                    raise ValueError("pieces and ids do not match")
-                data = ids.tobytes()
-                yield from ((piece, data[start:end]) for piece, start, end in zip(part, (4 * starts).tolist(), (4 * stops).tolist()))
+        for at in range(0, len(words), 2_000):
+            part, merge, cut = words[at : at + 2_000], self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            foreign = [word for word in part if not word.isascii()]
+            symbols = {word: cuts[0] for word, cuts in zip(foreign, cut(" ".join(foreign)), strict=True)}
+            tokens = [merge(symbols.get(word, word)) for word in part]
+            data = np.fromiter(map(_TOKEN_ID, chain.from_iterable(tokens)), np.uint32).tobytes()
+            ends = [4 * n for n in accumulate(map(len, tokens))]
+            yield from ((piece, data[start:end]) for piece, start, end in zip(part, [0, *ends], ends))
+        for at in range(0, len(others), 2_000):
+            part = others[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between_id)
+            if len(cuts) + 1 != len(part):
+                raise ValueError("pieces and ids do not match")
+            data = ids.tobytes()
+            yield from ((piece, data[start:end]) for piece, start, end in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]))
         for at in range(0, len(alone), 2_000):
             part = alone[at : at + 2_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             yield from ((piece, np.array(one.ids, np.uint32).tobytes()) for piece, one in zip(part, found))
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        waiting: list[list[str]] = []
-        size = 0
-        for text in texts:
-            waiting.append(self._pieces(text or ""))
-            size += len(text or "")
-            if size > BATCH_CHARS:
-                yield from self._encode(waiting)
-                waiting, size = [], 0
-        yield from self._encode(waiting)
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        lowered = text.lower()
-        # A final sigma has a lower case of its own in Python only; and composing must come to nothing either way.
-        lower = "Σ" not in text and (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", lowered))
-        special = "<" in text
-        pieces = _STOP.sub(r" \g<0>", lowered if lower and not special else text).replace("\n", " ").split(" ")
-        if lower and special:
-            # Special tokens are those of the raw text: lowering must not make one.
-            pieces = [piece if "<" in piece else piece.lower() for piece in pieces]
-        return pieces
-
-    def _encode(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
-        known = self.recent.know(chain.from_iterable(waiting))
-        for pieces in waiting:
-            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+    def encode_batch(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = texts.fill_null("") if texts.null_count else texts
+        if not len(texts):
+            return
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        start = 0
+        while start < len(texts):
+            upto = max(start + 1, int(np.searchsorted(ends, int(ends[start]) + BATCH_BYTES, "right")) - 1)
+            yield from self._encode(data[ends[start] : ends[upto]], ends[start : upto + 1] - ends[start])
+            start = upto
+
+    def _encode(self, data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of the texts between these ends."""
+        pieces, upto = self._pieces(data, ends)
+        coded = pieces.dictionary_encode()
+        different = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        joined = pc.binary_join(different, " ")[0].as_py()  # no piece holds a space, and none is empty
+        keys = [_key(*both) for both in zip(joined.split(" "), joined.lower().split(" "), strict=True)] if joined else []
+        found = self.recent.values(keys)
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32))), pa.array(np.frombuffer(b"".join(found), np.uint32)))
+        taken = lists.take(coded.indices)
+        ids, places = taken.values.to_numpy(), taken.offsets.to_numpy()[upto]
+        for start, end in zip(places[:-1].tolist(), places[1:].tolist()):
+            yield ids[start:end]
+
+    def _pieces(self, data: np.ndarray, ends: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        """All pieces of the texts, and the number of them before each text and after the last."""
+        kinds = self.kinds[data]
+        kept = (kinds & _SPACE) == 0
+        begins = np.zeros(len(data) + 1, bool)
+        begins[ends] = True
+        begins = begins[:-1]
+        begins[1:] |= ~kept[:-1]
+        closes = (kinds & _LETTER) != 0
+        # The second byte of another Latin letter.
+        closes[1:] |= ((kinds[:-1] & _LEAD) != 0) & ((kinds[1:] & _SIGN) == 0)
+        begins[1:] |= closes[:-1] & ((kinds[1:] & _STOP) != 0)
+        begins &= kept
+        upto = np.searchsorted(np.flatnonzero(begins), ends)
+        letters = data[kept]
+        places = np.append(np.flatnonzero(begins[kept]), len(letters)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(letters)), upto
+
+
+#: Kinds of bytes: between pieces; ASCII letters and digits; a sign that ends their run; the first of two bytes up to U+023F, all
+#: letters but two; the second byte of those two, the signs for times and divided by, and of a letter whose lower case ends in a mark.
+_SPACE, _LETTER, _STOP, _LEAD, _SIGN = 1, 2, 4, 8, 16
+
+
+def _byte_kinds(special: str) -> np.ndarray:
+    """The kinds of each byte; what special tokens have ends no run."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[[ord(c) for c in " \n"]] = _SPACE
+    kinds[[ord(c) for c in string.ascii_letters + string.digits]] = _LETTER
+    kinds[[ord(c) for c in string.punctuation if c not in special]] = _STOP
+    kinds[0xC3:0xC9] = _LEAD
+    kinds[[0x97, 0xB7, 0xB0]] = _SIGN
+    return kinds
+
+
+def _key(piece: str, lowered: str) -> str:
+    """The piece as it is looked up: in lower case, if that leaves the library's ids as they are."""
+    if piece == lowered or "<" in piece:
+        return piece  # lowering must not make a special token of it
+    # A final sigma has a lower case of its own in Python only; and composing must come to nothing either way.
+    return lowered if piece.isascii() or "Σ" not in piece and is_normalized("NFC", piece) and is_normalized("NFC", lowered) else piece
 
 
 @lru_cache(maxsize=4)
@@ -193,8 +241,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> DataF
         encoder, task, done, writer = library_encoder(path), TaskContext.get().partitionId(), [], None
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch(batch.column(1))):
                 writer = writer or _Writer(folder)
                 writer.add(doc_id, np.concatenate([ids, end]))
                 if writer.offset >= FILE_BYTES:

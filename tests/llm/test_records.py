@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest_llm import SMALL
@@ -46,6 +47,34 @@ def test_special_tokens_are_matched_in_the_raw_text(spark, documents):
     assert [ids.tolist() for ids in records.library_encoder(PATH).encode_batch(texts)] == [ids.tolist() for ids in encoded]
 
 
+def test_each_word_is_encoded_once():
+    """Whatever its case and the sign behind it; texts with a sign each were looked up one by one."""
+    words, signs = ["plain", "größe", "été", "x9"], list("!\"#$%&'()*+,-./:;=?@[]^_`{}~")
+    texts = [f"{form}{sign}" for word in words for sign in signs for form in (word, word.upper().replace("SS", "ẞ"), word.title())]
+    encoder = records.LibraryEncoder(PATH)
+    assert [ids.tolist() for ids in encoder.encode_batch(texts)] == [LIBRARY.encode(text, add_special_tokens=False).ids for text in texts]
+    assert len(encoder.recent.held) <= len(words) + len(signs)
+
+
+@pytest.mark.parametrize("size", [1, 300, 4 << 20])
+def test_pieces_end_where_the_library_ends_them(monkeypatch, size):
+    """Every code point of two bytes and some of more, before and behind letters, signs, marks and white space."""
+    monkeypatch.setattr(records, "BATCH_BYTES", size)
+    points = [*map(chr, range(1, 0x800)), *"\u1e96\u1e9e\u2028\u2126\u212a\u212b\u226e\u3000\u4e2d\uac00\ufb03\ufeff\U0001f642"]
+    texts = [f"x{c}, {c}'s.\n{c}\u0338=<{c}>A{c}-\u0301\tÉ{c}É(1{c}{c}! <|endoftext|>{c}. <|EndOfText|>{c}?" for c in points] + [None, "", " \n "]
+    wanted = [LIBRARY.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for given in (texts, pa.array(["left", "out", *texts, "and this"]).slice(2, len(texts)), pa.array(texts, pa.large_string())):
+        assert [ids.tolist() for ids in records.LibraryEncoder(PATH).encode_batch(given)] == wanted
+
+
+def test_without_direct_merges_the_ids_are_the_same():
+    texts = ["Hello, wide World. größe", "It's <|endoftext|> É!"]
+    encoder = records.LibraryEncoder(PATH)
+    assert encoder.direct
+    encoder.direct = False
+    assert [ids.tolist() for ids in encoder.encode_batch(texts)] == [LIBRARY.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def test_no_rows(spark, documents):
     assert records.read(spark, records.write(spark, documents([]), PATH, end_id=1)).collect() == []
 
@@ -82,6 +111,19 @@ def test_memory_of_two_generations():
     assert len(asked) < 16
 
 
+def test_values_ask_once():
+    asked = []
+
+    def find(keys):
+        asked.extend(keys)
+        return ((k, k * 2) for k in keys)
+
+    recent = Recent(3, find)
+    for keys in ([1, 2, 3, 4], [4, 1, 5, 5], [6, 1, 7, 1], []):
+        assert recent.values(keys) == [2 * k for k in keys]
+    assert sorted(asked) == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_query(spark):
     table = pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     wanted = [(i, start, len(ids) // 4, zlib.crc32(ids)) for i, start, ids in expected(list(zip(table["doc_id"], table["text"])))]
